@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import fusion, terms
+from placeweave.llm import fusion, mixing, terms, tokenizer
 from placeweave.sources.tables import latest_delivery, prop, table
 
 
@@ -37,7 +37,26 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(records, feeds, "guid", fields)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of tokens and whether its ids decode to its text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = tokenizer.decode(p7_ids(spark, sf_dir)).withColumnRenamed("text", "decoded").join(documents, "doc_id")
+    return both.select("doc_id", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values, p7_ids, p7_roundtrip, p8_mix, p8_shares)}
 
 _P1 = """
 WITH d AS (SELECT uid, arg_max(properties['name'], loaded_at) AS name FROM features WHERE uid IS NOT NULL GROUP BY uid),
@@ -69,4 +88,5 @@ SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT uid, arg_min(term, (-score, term)) AS term FROM s WHERE uid IN (SELECT uid FROM name_probes) GROUP BY uid",
     "p1_scores": _P1 + "SELECT uid, term, tf, in_all, round(score, 4) AS score FROM s",
     "p2_found": _P2,
+    "p7_roundtrip": "SELECT doc_id, true AS exact FROM documents",
 }
