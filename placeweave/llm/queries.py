@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import addresses, fusion, mixing, terms, tokenizer
+from placeweave.llm import addresses, fusion, mixing, names, terms, tokenizer
 from placeweave.sources.tables import latest_delivery, prop, table
 
 
@@ -42,6 +42,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.match_addresses(latest_delivery(table(spark, sf_dir, "features"), "uid", columns))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"name": prop("name"), "wof": prop("wof:name"), "street": prop("addr:street"), "number": prop("addr:housenumber"), "city": prop("addr:city"), "postcode": prop("addr:postcode")}
+    return names.match_names(latest_delivery(table(spark, sf_dir, "features"), "uid", columns), other_name="wof")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values, p4_found, p7_ids, p7_roundtrip, p8_mix, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values, p4_found, p6_found, p7_ids, p7_roundtrip, p8_mix, p8_shares)}
 
 _P1 = """
 WITH d AS (SELECT uid, arg_max(properties['name'], loaded_at) AS name FROM features WHERE uid IS NOT NULL GROUP BY uid),
