@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.session import materialize
+
 
 def grams(text: Column, n: int = 3) -> Column:
     """The distinct character n-grams of the text between two bars; of a shorter text the whole."""
@@ -12,12 +14,12 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substr(padded, i, F.lit(n))))
 
 
-def one_edit_apart(a: Column, b: Column, edits: Column) -> Column:
+def one_edit_apart(a: Column, b: Column, edits: Column, most: int = 6) -> Column:
     """Whether at most ``edits`` single-letter edits part two texts, two neighbours changing places being one edit: beside
     the Levenshtein distance, equal letters in another order count half."""
-    d = F.levenshtein(a, b)
+    d = F.levenshtein(a, b, most)  # -1 beyond
     same_letters = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
-    return (d <= edits) | ((d <= 2 * edits) & same_letters)
+    return (d >= 0) & ((d <= edits) | ((d <= 2 * edits) & same_letters))
 
 
 def weighted(vocabulary: DataFrame, text: str, n: int = 3) -> DataFrame:
@@ -60,11 +62,14 @@ def corrections(vocabulary: DataFrame, text: str = "text", count: str = "n", thr
     without such a partner are missing from the result. Candidates meet in an inverted index of the prefixes only;
     the established side is the small one, so the work grows with the vocabulary, not with its square."""
     words = vocabulary.select(F.col(text).alias("text"), F.col(count).alias("n")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    v = vectors(weighted(words, "text", n), threshold).join(words, "text")
-    a = v.select(*[F.col(c).alias(f"a_{c}") for c in ("text", "n", "grams", "squares", "norm")], F.explode("prefix").alias("gram"))
-    b = v.filter(F.col("n") >= established).select(*[F.col(c).alias(f"b_{c}") for c in ("text", "n", "grams", "squares", "norm")], F.explode("prefix").alias("gram"))
-    met = a.join(b, "gram").filter((F.col("b_n") >= ratio * F.col("a_n")) & (F.col("a_text") != F.col("b_text")))
+    v = materialize(vectors(weighted(words, "text", n), threshold).join(words, "text").withColumn("id", F.xxhash64("text")), "spelling-vectors")
+    a = v.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.length("text").alias("a_l"), F.explode("prefix").alias("gram"))
+    b = v.filter(F.col("n") >= established).select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.length("text").alias("b_l"), F.explode("prefix").alias("gram"))
+    # The index holds numbers only; a pair that shares many grams is brought down to one row before any text is compared.
+    met = a.join(b, "gram").filter((F.col("b_n") >= ratio * F.col("a_n")) & (F.abs(F.col("a_l") - F.col("b_l")) <= edits)).select("a", "b").distinct()
+    side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("text", "n", "grams", "squares", "norm")])
     room = F.when(F.least(F.length("a_text"), F.length("b_text")) < 8, 1).otherwise(edits)
-    close = met.filter((F.abs(F.length("a_text") - F.length("b_text")) <= edits) & one_edit_apart(F.col("a_text"), F.col("b_text"), room)).withColumn("cos", cosine("a", "b")).filter(F.col("cos") >= threshold)
+    near = met.join(side("a"), "a").join(side("b"), "b").filter(one_edit_apart(F.col("a_text"), F.col("b_text"), room, 2 * edits))
+    close = near.withColumn("cos", cosine("a", "b")).filter(F.col("cos") >= threshold)
     best = close.groupBy("a_text").agg(F.max(F.struct(F.round("cos", 9).alias("c"), F.col("b_n").alias("n"), F.col("b_text").alias("to"))).alias("best"))
     return best.select(F.col("a_text").alias("text"), F.col("best.to").alias("to"))
