@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import addresses, fusion, mixing, names, terms, tokenizer
+from placeweave.llm import addresses, fusion, mixing, names, subjects, terms, tokenizer
 from placeweave.sources.tables import latest_delivery, prop, table
 
 
@@ -66,7 +66,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values, p4_found, p6_found, p7_ids, p7_roundtrip, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return subjects.assign(documents, subjects.fit(documents, table(spark, sf_dir, "subject_examples")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_scores, p2_found, p2_values, p4_found, p6_found, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found)}
 
 _P1 = """
 WITH d AS (SELECT uid, arg_max(properties['name'], loaded_at) AS name FROM features WHERE uid IS NOT NULL GROUP BY uid),
