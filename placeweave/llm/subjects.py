@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 MAX_EXAMPLES = 4000
 _PARAGRAPH = re.compile(r"^[^\S\n]*(?:¶[^\S\n]*\d{1,3}\.?|\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}[.)]|\d{1,3}[^\S\n]*[–—-])(?=\s)", re.M)
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_BROKEN = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
+_SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 # How a text says that it mentions something in passing, and common words of three languages.
-_PASSING = re.compile(r"illustration|beispielhaft|beispielsweise|by way of example|for example|zum beispiel|par exemple|à titre d.exemple|obiter", re.I)
+_PASSING = ["illustration", "beispielhaft", "beispielsweise", "by way of example", "for example", "zum beispiel", "par exemple", "à titre d'exemple", "obiter"]
 _COMMON = {"en": frozenset("the and that was with not for from had but which".split()), "de": frozenset("der die das und nicht ist den dem ein eine auf von".split()), "fr": frozenset("les des est que une pas dans pour par sur qui".split())}
 
 
@@ -36,16 +38,21 @@ def paragraphs(text: str | None) -> list[list[str]]:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("­", "")
+    text = text.lower()
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "\xad" in text:
+        text = text.replace("\xad", "")
     if "-\n" in text:
-        text = re.sub(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])", "", text)
+        text = _BROKEN.sub("", text)
     starts = [m.end() for m in _PARAGRAPH.finditer(text)]
+    passing = any(p in text for p in _PASSING)
     out = []
     for a, b in zip(starts, [*starts[1:], len(text)]):
         part = text[a:b]
-        if _PASSING.search(part):
-            part = " ".join(s for s in re.split(r"(?<=[.;!?])\s+", part) if not _PASSING.search(s))
-        out.append(_WORD.findall(part.lower()))
+        if passing and any(p in part for p in _PASSING):
+            part = " ".join(s for s in _SENTENCE.split(part) if not any(p in s for p in _PASSING))
+        out.append(_WORD.findall(part))
     return out
 
 
@@ -70,9 +77,10 @@ class Model:
 
     def scores(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Per paragraph the cosine to each subject (its nearest centroid's) and the sum of its terms' weights."""
+        # Row 0 stands for no term.
         get, at, ids = self.terms.get, [0], []
         for p in parts:
-            ids += [i for i in map(get, p) if i is not None]
+            ids += filter(None, map(get, p))
             at.append(len(ids))
         # Sums over slices by differences of running sums: a paragraph without known terms sums to nothing.
         rows = np.zeros((len(ids) + 1, self.vectors.shape[1]))
@@ -178,8 +186,8 @@ def fit(documents: DataFrame, examples: DataFrame, key: str = "doc_id", text: st
                 product += block.T @ (block @ basis)
             basis, strength, _ = np.linalg.svd(product, full_matrices=False)
     loadings = basis[:, :rank]
-    vectors = weight[:, None] * loadings
-    units = np.array([vectors[ids].sum(axis=0) for _, ids, _ in parts]).reshape(len(parts), loadings.shape[1])
+    vectors = np.vstack([np.zeros((1, loadings.shape[1])), weight[:, None] * loadings])
+    units = np.array([vectors[1:][ids].sum(axis=0) for _, ids, _ in parts]).reshape(len(parts), loadings.shape[1])
     units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
     tongue = [language([w for p in ps for w in p]) for _, ps in labelled]
     owners = [(s, t) for s in range(len(subjects)) for t in _COMMON]
@@ -196,7 +204,7 @@ def fit(documents: DataFrame, examples: DataFrame, key: str = "doc_id", text: st
                 if near.max() >= 0.3 and (centroids @ u).max() <= near.max() + 0.15:
                     sums[cs[int(near.argmax())]] += u
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    model = Model(terms, vectors, weight, centroids, np.array([s for s, _ in owners]), subjects)
+    model = Model({w: i + 1 for w, i in terms.items()}, vectors, np.concatenate([[0.0], weight]), centroids, np.array([s for s, _ in owners]), subjects)
 
     scored = [model.scores(ps) for _, ps in labelled]
     top = [(c.argmax(axis=1), c.max(axis=1), m) for c, m in scored]
