@@ -50,9 +50,11 @@ def responses(features: DataFrame, pairs: DataFrame, config: DedupeConfig) -> Da
     listed = response_lists(pairs).join(objects.select(F.col("uid").alias("uid2"), "object"), "uid2")
     entry = F.struct("is_canonical", "classification", "object", "similarity", explain.alias("explain"))
     keyed = F.struct((-F.col("similarity")).alias("order"), "uid2", entry.alias("entry"))
+    # By falling similarity, then by uid; objects hold maps, which have no order of their own.
+    in_order = lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).when(x["uid2"] < y["uid2"], -1).when(x["uid2"] > y["uid2"], 1).otherwise(0)
     lists = listed.groupBy(F.col("uid1").alias("uid")).agg(
-        F.sort_array(F.collect_list(F.when(F.col("is_sure"), keyed))).alias("sure"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_sure"), keyed))).alias("unsure"),
+        F.array_sort(F.collect_list(F.when(F.col("is_sure"), keyed)), in_order).alias("sure"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_sure"), keyed)), in_order).alias("unsure"),
     )
     out = objects.join(lists, "uid", "inner" if config.dupes_only else "left")
     entries = lambda c: F.when(F.size(c) > 0, F.transform(c, lambda x: x["entry"]))

@@ -56,3 +56,12 @@ def clear_scratch(spark: SparkSession) -> None:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)
+
+
+def small_side(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """``df``, written once, as the side of a join: marked for broadcast if it has at most ``most`` rows, which are counted;
+    otherwise left to a shuffled join. For narrow tables, so that the rows bound the bytes."""
+    from pyspark.sql import functions as F
+
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= most else written
