@@ -92,7 +92,7 @@ def name_status(a: Column, b: Column) -> Column:
     u, v = core(x), core(y)
     shared = F.size(F.array_intersect(u, v)) / F.nullif(F.size(F.array_union(u, v)), F.lit(0))
     none = F.lit(None).cast("int")
-    return F.when(F.coalesce(F.least(F.size(x), F.size(y)), F.lit(0)) <= 0, none).when(x == y, EXACT_DUPLICATE).when((F.size(u) > 0) & (u == v), LIKELY_DUPLICATE).when(shared >= 0.5, NEEDS_REVIEW).otherwise(NON_DUPLICATE)
+    return F.when((F.coalesce(F.size(x), F.lit(0)) <= 0) | (F.coalesce(F.size(y), F.lit(0)) <= 0), none).when(x == y, EXACT_DUPLICATE).when((F.size(u) > 0) & (u == v), LIKELY_DUPLICATE).when(shared >= 0.5, NEEDS_REVIEW).otherwise(NON_DUPLICATE)
 
 
 def class_of(sim: Column, likely: float = 0.9, review: float = 0.7) -> Column:

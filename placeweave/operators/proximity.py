@@ -48,8 +48,8 @@ def _reach_deg(lat_far: Column, radius_m: float) -> Column:
 def near_pairs(points: DataFrame, radius_m: float, key: str = "uid", lat: str = "lat", lon: str = "lon", hot_share: float = 1e-3) -> DataFrame:
     """Pairs ``<key>_a < <key>_b`` of points at most ``radius_m`` apart.
 
-    ``points`` has one row per key; rows with a null key or an unusable location (null, NaN, infinite, lat beyond ±90,
-    0/0) have no partner. Longitude counts modulo 360, so the antimeridian and the poles are no borders. Points at equal
+    Rows with a null key or an unusable location (null, NaN, infinite, lat beyond ±90, 0/0) have no partner; of several
+    usable rows of one key the greatest (lat, lon) counts. Longitude counts modulo 360, so the antimeridian and the poles are no borders. Points at equal
     places are pairs like any others; an empty table gives no pairs; other columns are ignored, whatever their names.
 
     The sphere is cut into bands of the radius' height, each band into cells at least as wide as the radius reaches
@@ -63,6 +63,7 @@ def near_pairs(points: DataFrame, radius_m: float, key: str = "uid", lat: str =
     fine = math.sqrt(0.5) * (1 - 1e-6)
     p = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon0"))
     p = p.filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon0")))
+    p = p.groupBy("id").agg(F.max(F.struct("lat", "lon0")).alias("at")).select("id", "at.lat", "at.lon0")
     p = p.select("id", "lat", wrap_360(F.col("lon0")).alias("lon"), F.floor((F.col("lat") + 90) / band_deg).alias("band"))
 
     def reach(band: Column) -> Column:

@@ -384,7 +384,7 @@ def q_jaccard_multiset(spark, d):
 _OPTIONAL = ", ".join(f"'{w}'" for w in OPTIONAL_WORDS)
 
 
-@query(with_(_NAMED + f", c AS (SELECT uid1, uid2, a, b, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN ({_OPTIONAL})))) AS u, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN ({_OPTIONAL})))) AS v FROM np)", "SELECT uid1, uid2, CASE WHEN coalesce(least(len(a), len(b)), 0) = 0 THEN NULL WHEN a = b THEN 3 WHEN len(u) > 0 AND u = v THEN 2 WHEN len(list_intersect(u, v)) / nullif(len(list_distinct(list_concat(u, v))), 0) >= 0.5 THEN 1 ELSE 0 END AS status FROM c"))
+@query(with_(_NAMED + f", c AS (SELECT uid1, uid2, a, b, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN ({_OPTIONAL})))) AS u, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN ({_OPTIONAL})))) AS v FROM np)", "SELECT uid1, uid2, CASE WHEN a IS NULL OR b IS NULL OR len(a) = 0 OR len(b) = 0 THEN NULL WHEN a = b THEN 3 WHEN len(u) > 0 AND u = v THEN 2 WHEN len(list_intersect(u, v)) / nullif(len(list_distinct(list_concat(u, v))), 0) >= 0.5 THEN 1 ELSE 0 END AS status FROM c"))
 def q_name_class(spark, d):
     return _pairs(spark, d, "house").select("uid1", "uid2", classify.name_status(F.col("house1"), F.col("house2")).alias("status"))
 
