@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.session import materialize
+from placeweave.session import materialize, small_side
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -23,9 +23,10 @@ def one_edit_apart(a: Column, b: Column, edits: Column, most: int = 6) -> Column
 
 
 def weighted(vocabulary: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """``text, gram, w, norm2``: each text's grams with their inverse document frequency over the vocabulary."""
+    """``text, gram, w``: each text's grams with their inverse document frequency over the vocabulary. Distinct grams are few
+    (letters to the n-th power at most): they are broadcast behind a count, so the texts' own partitioning stays."""
     rows = vocabulary.select(F.col(text).alias("text")).select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    df = small_side(rows.groupBy("gram").agg(F.count("*").alias("df")), "gram-frequencies")
     total = vocabulary.agg(F.count("*")).scalar()
     return rows.join(df, "gram").withColumn("w", F.ln(1 + total / F.col("df")))
 
