@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.session import ship
+
 EARTH_M = 6371008.8
 #: Cell id = band * 2^_SHIFT + column.
 _SHIFT = 30
@@ -168,6 +170,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "uid", l
                 rows += [(name, level, i, j, inside, None if inside else flat) for level, i, j, inside in cover_polygon(at, max_level, max_cells)]
             yield pd.DataFrame(rows, columns=["region", "level", "i", "j", "inside", "flat"])
 
+    ship(points.sparkSession)
     cells = regions.select(F.col(region).alias("region"), F.col(ring).alias("ring")).mapInPandas(cover, f"region {regions.schema[region].dataType.simpleString()}, level int, i bigint, j bigint, inside boolean, flat array<double>")
     p = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon0")).filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon0")))
     turned = wrap_360(F.col("lon0") + 180) - 180

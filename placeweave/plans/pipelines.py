@@ -13,7 +13,7 @@ from placeweave.operators import word_index as wi
 from placeweave.operators.blocking import block_keys, candidate_pairs, join_pairs, link_pairs, star_pairs
 from placeweave.operators.classify import address_status, geo_blend, is_sub_building_dupe, name_address_verdict
 from placeweave.operators.responses import responses, unique_records
-from placeweave.session import materialize
+from placeweave.session import materialize, ship
 from placeweave.sources.records import records
 
 _FIELDS = ["uid", "house", "house_number", "house_number_base", "road", "unit", "floor", "phone", "country"]
@@ -47,6 +47,7 @@ def name_similarity(pairs: DataFrame, recs: DataFrame, config: DedupeConfig) ->
         scores = wi.tfidf_scores(docs, config.min_word_docs)
     else:
         scores = wi.info_gain(docs, config.min_word_docs).withColumnRenamed("gain", "score")
+    ship(recs.sparkSession)
     soft = soft_tfidf()
     used = docs.join(pairs.select(F.explode(F.array("uid1", "uid2")).alias("uid")).distinct(), "uid", "left_semi")
     both = join_pairs(pairs.select("uid1", "uid2"), wi.scored_docs(used, scores))
