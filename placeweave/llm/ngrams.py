@@ -64,10 +64,15 @@ def corrections(vocabulary: DataFrame, text: str = "text", count: str = "n", thr
     the established side is the small one, so the work grows with the vocabulary, not with its square."""
     words = vocabulary.select(F.col(text).alias("text"), F.col(count).alias("n")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
     v = materialize(vectors(weighted(words, "text", n), threshold).join(words, "text").withColumn("id", F.xxhash64("text")), "spelling-vectors")
-    a = v.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.length("text").alias("a_l"), F.explode("prefix").alias("gram"))
-    b = v.filter(F.col("n") >= established).select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.length("text").alias("b_l"), F.explode("prefix").alias("gram"))
-    # The index holds numbers only; a pair that shares many grams is brought down to one row before any text is compared.
-    met = a.join(b, "gram").filter((F.col("b_n") >= ratio * F.col("a_n")) & (F.abs(F.col("a_l") - F.col("b_l")) <= edits)).select("a", "b").distinct()
+    # g grams in all, and those of them outside the prefix, which the index does not see.
+    measures = [F.col("n").alias("n"), F.length("text").alias("l"), F.size("grams").alias("g"), (F.size("grams") - F.size("prefix")).alias("rest")]
+    index = v.select("id", *measures, F.explode("prefix").alias("gram"))
+    a, b = index.alias("a"), index.filter(F.col("n") >= established).alias("b")
+    met = a.join(b, "gram").filter((F.col("b.n") >= ratio * F.col("a.n")) & (F.abs(F.col("a.l") - F.col("b.l")) <= edits))
+    # The index holds numbers only, and a pair is brought down to one row before any text is compared. An edit changes at
+    # most n + 1 grams, so a pair must share all but those, in the index or outside of it.
+    needed = F.greatest("a.g", "b.g") - edits * (n + 1) - F.col("a.rest") - F.col("b.rest")
+    met = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), needed.alias("needed")).agg(F.count("*").alias("shared")).filter("shared >= needed").select("a", "b")
     side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("text", "n", "grams", "squares", "norm")])
     room = F.when(F.least(F.length("a_text"), F.length("b_text")) < 8, 1).otherwise(edits)
     near = met.join(side("a"), "a").join(side("b"), "b").filter(one_edit_apart(F.col("a_text"), F.col("b_text"), room, 2 * edits))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.session import ship
+
 #: Labelled documents the model is fitted on, at most; the least by a hash of their key.
 MAX_EXAMPLES = 4000
 _PARAGRAPH = re.compile(r"^[^\S\n]*(?:¶[^\S\n]*\d{1,3}\.?|\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}[.)]|\d{1,3}[^\S\n]*[–—-])(?=\s)", re.M)
@@ -108,6 +110,7 @@ class Model:
 
 def _corpus_frequencies(documents: DataFrame, text: str, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """In how many of all documents each term of the vocabulary occurs, and their number. A task sends a count per term."""
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +230,7 @@ def assign(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
 
     Null keys, null, empty and blank texts, and texts without numbered paragraphs have no subject; texts of any length are
     read whole; repeated rows give one result. Each document is judged by itself: no shuffle but for distinctness."""
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

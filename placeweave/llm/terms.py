@@ -27,7 +27,7 @@ def llr(a: Column, in_record: Column, in_all: Column, total: Column) -> Column:
 def term_scores(records: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
     """``key, term, tf, in_all, score`` for each distinct term of each record (of those in ``wanted``, by the same key).
 
-    One row per key is expected. Null keys and null, empty or letterless texts give no rows and count for nothing; a term
+    One row per key is expected (repeated rows count as records of their own). Null keys and null, empty or letterless texts give no rows and count for nothing; a term
     repeated in a record counts as often as it stands there; texts of any length are read whole; ties keep equal scores;
     other columns are ignored. The collection's counts always cover every record, whatever is wanted.
 

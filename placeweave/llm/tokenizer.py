@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.session import ship
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -208,6 +210,7 @@ def tokenizer(rank_file: bytes) -> Bpe:
 
 def _shipped(spark: SparkSession, path: str):
     """The rank file, read by the driver and broadcast (0.8 MB, whatever the corpus' size)."""
+    ship(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
