@@ -18,9 +18,8 @@ def national_number(phone: Column, code: Column) -> Column:
     """The national digits of a number under a calling code; null unless seven or more are left. Extensions, signs, the
     international prefix with the code, and trunk zeros are taken off; an eleven-digit number under code 1 may begin with
     the code."""
+    # One chain in which every step is named once, since Catalyst inlines steps wherever they are named.
     s = F.regexp_replace(F.lower(phone), r"(?:ext\.?|x)\s*[0-9]+\s*$", "")
-    plus = s.rlike(r"^[^0-9+]*(?:\+|00)")
-    d = F.regexp_replace(F.regexp_replace(s, "[^0-9]", ""), "^00", "")
-    home = F.when(plus & d.startswith(code), F.substr(d, F.length(code) + 1)).when(plus, F.lit(None).cast("string")).when((code == "1") & (F.length(d) == 11) & d.startswith("1"), F.substr(d, F.lit(2))).otherwise(d)
-    n = F.regexp_replace(home, "^0+", "")
-    return F.when(F.length(n) >= 7, n)
+    s = F.regexp_replace(F.regexp_replace(s, "[^0-9+]", ""), "^00", "+")
+    s = F.regexp_replace(s, F.concat(F.lit(r"^\+"), code, F.when(code == "1", r"|^1(?=[0-9]{10}$)").otherwise("")), F.lit(""))
+    return F.nullif(F.regexp_extract(F.regexp_replace(s, "^0+", ""), "^[0-9]{7,}$", 0), F.lit(""))

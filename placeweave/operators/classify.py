@@ -3,7 +3,7 @@ by status, then by similarity; null is the verdict "not a pair"."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.config import CLASS_NAMES, EXACT_DUPLICATE, LIKELY_DUPLICATE, NEEDS_REVIEW, NON_DUPLICATE, DedupeConfig
@@ -27,41 +27,66 @@ def class_name(status: Column) -> Column:
     return out
 
 
-def street_status(a: Column, b: Column, fuzzy: bool = False) -> Column:
-    """EXACT (1.0) if the written-out streets agree but for spaces; fuzzy: LIKELY (0.9) within one edit in eight letters
-    or more, numbers excepted, NEEDS_REVIEW (0.5) within two in twelve; NON otherwise, and where a side has no word."""
-    x, y = joined(a), joined(b)
+def match_keys(recs: DataFrame) -> DataFrame:
+    """``uid`` and what the verdicts compare, worked out once per record instead of once per pair: the written-out street,
+    house number, unit, floor and name."""
+    core = lambda t: F.array_sort(F.array_distinct(F.filter(t, lambda w: ~w.isin(OPTIONAL_WORDS))))
+    keys = recs.select("uid", *[k.alias(n) for n, k in _address_keys("").items()], tokens(F.col("house")).alias("words"), F.col("phone"), F.col("country"))
+    return keys.withColumn("core", core(F.col("words")))
+
+
+def _address_keys(s: str) -> dict[str, Column]:
+    """The keys of an address from the columns ``road<s>, house_number<s>, house_number_base<s>, unit<s>, floor<s>``."""
+    c = lambda f: F.col(f"{f}{s}")
+    return {
+        "street": joined(c("road")), "number": house_key(c("house_number")), "base": house_key(c("house_number_base")), "has_road": _present(c("road")), "has_number": _present(c("house_number")), "unit_key": unit_key(c("unit")), "floor_key": unit_key(c("floor")),
+    }
+
+
+def _keyed(s: str) -> dict[str, Column]:
+    return {n: F.col(f"{n}{s}") for n in ("street", "number", "base", "has_road", "has_number", "unit_key", "floor_key")}
+
+
+def _street(x: Column, y: Column, fuzzy: bool) -> Column:
     close = verdict(*NON)
     if fuzzy:
-        d = F.levenshtein(x, y)
-        words = ~x.rlike("[0-9]") & ~y.rlike("[0-9]")
+        d = F.levenshtein(x, y, 2)  # -1 beyond
+        words = ~x.rlike("[0-9]") & ~y.rlike("[0-9]") & (d >= 0)
         shorter = F.least(F.length(x), F.length(y))
-        close = F.when(words & (d <= 1) & (shorter >= 8), verdict(LIKELY_DUPLICATE, 0.9)).when(words & (d <= 2) & (shorter >= 12), verdict(NEEDS_REVIEW, 0.5)).otherwise(close)
+        close = F.when(words & (d <= 1) & (shorter >= 8), verdict(LIKELY_DUPLICATE, 0.9)).when(words & (shorter >= 12), verdict(NEEDS_REVIEW, 0.5)).otherwise(close)
     return F.when(x.isNull() | y.isNull(), verdict(*NON)).when(x == y, verdict(EXACT_DUPLICATE, 1.0)).otherwise(close)
 
 
+def street_status(a: Column, b: Column, fuzzy: bool = False) -> Column:
+    """EXACT (1.0) if the written-out streets agree but for spaces; fuzzy: LIKELY (0.9) within one edit in eight letters
+    or more, numbers excepted, NEEDS_REVIEW (0.5) within two in twelve; NON otherwise, and where a side has no word."""
+    return _street(joined(a), joined(b), fuzzy)
+
+
+def _house_number(a: Column, b: Column, base1: Column, base2: Column) -> Column:
+    based = (base1.isNotNull() | base2.isNotNull()) & (F.coalesce(base1, a) == F.coalesce(base2, b))
+    return F.when(a == b, verdict(EXACT_DUPLICATE, 1.0)).when(based, verdict(LIKELY_DUPLICATE, 0.9)).otherwise(verdict(*NON))
+
+
 def house_number_status(n1: Column, n2: Column, base1: Column, base2: Column) -> Column:
     """EXACT if the numbers agree; LIKELY (0.9) if they do once a base number stands for the full one where it is given."""
-    a, b = house_key(n1), house_key(n2)
-    x, y = F.coalesce(house_key(base1), a), F.coalesce(house_key(base2), b)
-    based = (base1.isNotNull() | base2.isNotNull()) & (x == y)
-    return F.when(a == b, verdict(EXACT_DUPLICATE, 1.0)).when(based, verdict(LIKELY_DUPLICATE, 0.9)).otherwise(verdict(*NON))
+    return _house_number(*map(house_key, (n1, n2, base1, base2)))
 
 
 def _present(c: Column) -> Column:
     return F.coalesce(F.trim(c) != "", F.lit(False))
 
 
-def address_status(fuzzy: bool = False, s: tuple[str, str] = ("1", "2")) -> Column:
-    """The verdict on street and house number; null where one side lacks what the other has, or both lack both."""
-    r1, r2, n1, n2 = (F.col(f"{f}{x}") for f in ("road", "house_number") for x in s)
-    b1, b2 = (F.col(f"house_number_base{x}") for x in s)
-    street, number = street_status(r1, r2, fuzzy), house_number_status(n1, n2, b1, b2)
-    roads, numbers = _present(r1) & _present(r2), _present(n1) & _present(n2)
+def address_status(fuzzy: bool = False, keyed: bool = False) -> Column:
+    """The verdict on street and house number; null where one side lacks what the other has, or both lack both. ``keyed``
+    takes the columns of :func:`match_keys` instead of the record's."""
+    x, y = (_keyed(s) if keyed else _address_keys(s) for s in "12")
+    street, number = _street(x["street"], y["street"], fuzzy), _house_number(x["number"], y["number"], x["base"], y["base"])
+    roads, numbers = x["has_road"] & y["has_road"], x["has_number"] & y["has_number"]
     none = F.lit(None).cast("struct<status:int,sim:double>")
     good = lambda v: v["status"] >= LIKELY_DUPLICATE
     return (
-        F.when((_present(r1) != _present(r2)) | (_present(n1) != _present(n2)) | (~_present(r1) & ~_present(n1)), none)
+        F.when((x["has_road"] != y["has_road"]) | (x["has_number"] != y["has_number"]) | (~x["has_road"] & ~x["has_number"]), none)
         .when(roads & ~good(street), verdict(*NON))
         .when(numbers & ~good(number), verdict(*NON))
         .when(roads & numbers, F.least(street, number))
@@ -70,29 +95,35 @@ def address_status(fuzzy: bool = False, s: tuple[str, str] = ("1", "2")) -> Colu
     )
 
 
-def is_sub_building_dupe(s: tuple[str, str] = ("1", "2")) -> Column:
+def is_sub_building_dupe(keyed: bool = False) -> Column:
     """Units agree where both are given, and so do floors."""
+    if keyed:
+        sides = [(F.col(f"{f}_key1"), F.col(f"{f}_key2")) for f in ("unit", "floor")]
+    else:
+        sides = [(unit_key(F.col(f"{f}1")), unit_key(F.col(f"{f}2"))) for f in ("unit", "floor")]
     out = F.lit(True)
-    for f in ("unit", "floor"):
-        a, b = (unit_key(F.col(f"{f}{x}")) for x in s)
-        out = out & (F.coalesce(a == b, F.lit(True)))
+    for a, b in sides:
+        out = out & F.coalesce(a == b, F.lit(True))
     return out
 
 
-def is_address_dupe(with_unit: bool = True, fuzzy: bool = False) -> Column:
-    good = F.coalesce(address_status(fuzzy)["status"] >= LIKELY_DUPLICATE, F.lit(False))
-    return good & is_sub_building_dupe() if with_unit else good
+def is_address_dupe(with_unit: bool = True, fuzzy: bool = False, keyed: bool = False) -> Column:
+    good = F.coalesce(address_status(fuzzy, keyed)["status"] >= LIKELY_DUPLICATE, F.lit(False))
+    return good & is_sub_building_dupe(keyed) if with_unit else good
+
+
+def _names(x: Column, y: Column, u: Column, v: Column) -> Column:
+    shared = F.size(F.array_intersect(u, v)) / F.nullif(F.size(F.array_union(u, v)), F.lit(0))
+    none = F.lit(None).cast("int")
+    return F.when((F.coalesce(F.size(x), F.lit(0)) <= 0) | (F.coalesce(F.size(y), F.lit(0)) <= 0), none).when(x == y, EXACT_DUPLICATE).when((F.size(u) > 0) & (u == v), LIKELY_DUPLICATE).when(shared >= 0.5, NEEDS_REVIEW).otherwise(NON_DUPLICATE)
 
 
 def name_status(a: Column, b: Column) -> Column:
     """EXACT if the written-out names agree in order; LIKELY if their words do, whatever their order, without optional
     ones; NEEDS_REVIEW if half of the words are shared; NON otherwise; null where a side has no word."""
-    x, y = tokens(a), tokens(b)
     core = lambda t: F.array_sort(F.array_distinct(F.filter(t, lambda w: ~w.isin(OPTIONAL_WORDS))))
-    u, v = core(x), core(y)
-    shared = F.size(F.array_intersect(u, v)) / F.nullif(F.size(F.array_union(u, v)), F.lit(0))
-    none = F.lit(None).cast("int")
-    return F.when((F.coalesce(F.size(x), F.lit(0)) <= 0) | (F.coalesce(F.size(y), F.lit(0)) <= 0), none).when(x == y, EXACT_DUPLICATE).when((F.size(u) > 0) & (u == v), LIKELY_DUPLICATE).when(shared >= 0.5, NEEDS_REVIEW).otherwise(NON_DUPLICATE)
+    x, y = tokens(a), tokens(b)
+    return _names(x, y, core(x), core(y))
 
 
 def class_of(sim: Column, likely: float = 0.9, review: float = 0.7) -> Column:
@@ -118,20 +149,22 @@ def phone_revised(status: Column, agree: Column) -> Column:
     return F.when((status == NEEDS_REVIEW) & agree, LIKELY_DUPLICATE).when((status == LIKELY_DUPLICATE) & ~agree, NEEDS_REVIEW).otherwise(status)
 
 
-def name_address_verdict(config: DedupeConfig, fuzzy_sim: Column | None = None) -> Column:
-    """The verdict on names, once the addresses (and units, on demand) agree; null where they do not or a name is missing.
+def name_address_verdicts(pairs: DataFrame, config: DedupeConfig) -> DataFrame:
+    """``uid1, uid2, status, sim`` of the pairs with one name and one address (and unit, on demand), or with names to be
+    reviewed. ``pairs`` has both sides' :func:`match_keys` and ``fuzzy``, the soft similarity, null where there is none.
 
     Names that are not equal take the class of the soft similarity where it is at least that of the plain comparison; the
-    phones then revise it. The similarity is that of the deciding comparison, capped at 1."""
-    plain = name_status(F.col("house1"), F.col("house2"))
-    plain_sim = F.when(plain == EXACT_DUPLICATE, 1.0).when(plain == LIKELY_DUPLICATE, config.name_dupe_threshold).when(plain == NEEDS_REVIEW, config.name_review_threshold).otherwise(0.0)
-    out = verdict(plain, plain_sim)
-    if fuzzy_sim is not None:
-        soft = class_of(fuzzy_sim, config.name_dupe_threshold, config.name_review_threshold)
-        out = F.when((plain < EXACT_DUPLICATE) & (soft >= plain), verdict(soft, F.least(fuzzy_sim, F.lit(1.0)))).otherwise(out)
-    if config.use_phone_numbers:
-        out = verdict(phone_revised(out["status"], phone_agreement()), out["sim"])
-    gate = F.lit(True)
+    phones then revise it. The similarity is that of the deciding comparison, capped at 1. The steps are columns of their own,
+    so that each is worked out once."""
     if not config.name_only:
-        gate = is_address_dupe(config.with_unit, config.fuzzy_street_names)
-    return F.when(gate & plain.isNotNull() & (out["status"] > NON_DUPLICATE), out)
+        pairs = pairs.filter(is_address_dupe(config.with_unit, config.fuzzy_street_names, keyed=True))
+    plain = _names(*[F.col(c) for c in ("words1", "words2", "core1", "core2")])
+    phones = ["phone1", "phone2", "country1", "country2"]
+    out = pairs.select("uid1", "uid2", plain.alias("plain"), class_of(F.col("fuzzy"), config.name_dupe_threshold, config.name_review_threshold).alias("soft"), "fuzzy", *phones)
+    # The phones turn no duplicate into none and none into one, so the pairs that are none go before they are read.
+    out = out.filter((F.col("plain") > NON_DUPLICATE) | ((F.col("plain") == NON_DUPLICATE) & (F.col("soft") > NON_DUPLICATE)))
+    softer = (F.col("plain") < EXACT_DUPLICATE) & F.coalesce(F.col("soft") >= F.col("plain"), F.lit(False))
+    plain_sim = F.when(F.col("plain") == EXACT_DUPLICATE, 1.0).when(F.col("plain") == LIKELY_DUPLICATE, config.name_dupe_threshold).when(F.col("plain") == NEEDS_REVIEW, config.name_review_threshold).otherwise(0.0)
+    agree = phone_agreement() if config.use_phone_numbers else F.lit(None).cast("boolean")
+    out = out.select("uid1", "uid2", agree.alias("agree"), F.when(softer, F.col("soft")).otherwise(F.col("plain")).alias("status"), F.when(softer, F.least("fuzzy", F.lit(1.0))).otherwise(plain_sim).alias("sim"))
+    return out.select("uid1", "uid2", phone_revised(F.col("status"), F.col("agree")).alias("status"), "sim")

@@ -359,7 +359,7 @@ def q_street_status(spark, d):
 @query(with_(JUDGED, "SELECT uid1, uid2, v.status AS status, v.sim AS sim FROM w"))
 def q_address_status(spark, d):
     v = classify.address_status(fuzzy=True)
-    return _pairs(spark, d, "road", "house_number", "house_number_base").withColumn("v", v).select("uid1", "uid2", "v.status", "v.sim")
+    return _pairs(spark, d, "road", "house_number", "house_number_base", "unit", "floor").withColumn("v", v).select("uid1", "uid2", "v.status", "v.sim")
 
 
 def _unit_sql(c: str) -> str:

@@ -6,26 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from placeweave.config import LIKELY_DUPLICATE, NEEDS_REVIEW, DedupeConfig
+from placeweave.config import LIKELY_DUPLICATE, DedupeConfig
 from placeweave.functions.similarity import soft_tfidf
 from placeweave.functions.text import tokens
 from placeweave.operators import word_index as wi
 from placeweave.operators.blocking import block_keys, candidate_pairs, join_pairs, link_pairs, star_pairs
-from placeweave.operators.classify import address_status, geo_blend, is_sub_building_dupe, name_address_verdict
+from placeweave.operators.classify import address_status, geo_blend, is_sub_building_dupe, match_keys, name_address_verdicts
 from placeweave.operators.responses import responses, unique_records
 from placeweave.session import materialize, ship
 from placeweave.sources.records import records
 
-_FIELDS = ["uid", "house", "house_number", "house_number_base", "road", "unit", "floor", "phone", "country"]
+_ADDRESS_KEYS = ["uid", "street", "number", "base", "has_road", "has_number", "unit_key", "floor_key"]
 
 
 def judged_addresses(pairs: DataFrame, recs: DataFrame, config: DedupeConfig, right: DataFrame | None = None) -> DataFrame:
     """``uid1, uid2, status, sim`` of the pairs with one address, exact or likely."""
-    fields = [f for f in _FIELDS if f not in ("house", "phone", "country")]
-    both = join_pairs(pairs, recs.select(*fields), None if right is None else right.select(*fields))
-    both = both.withColumn("v", address_status(config.fuzzy_street_names)).filter(F.col("v.status") >= LIKELY_DUPLICATE)
+    both = join_pairs(pairs, match_keys(recs).select(*_ADDRESS_KEYS), None if right is None else match_keys(right).select(*_ADDRESS_KEYS))
+    both = both.withColumn("v", address_status(config.fuzzy_street_names, keyed=True)).filter(F.col("v.status") >= LIKELY_DUPLICATE)
     if config.with_unit:
-        both = both.filter(is_sub_building_dupe())
+        both = both.filter(is_sub_building_dupe(keyed=True))
     return both.select("uid1", "uid2", "v.status", "v.sim")
 
 
@@ -74,9 +73,7 @@ def dedupe_names(recs: DataFrame, config: DedupeConfig) -> DataFrame:
     named = recs.filter(F.trim("house") != "")
     pairs = materialize(candidate_pairs(named, config), "candidates")
     sims = name_similarity(pairs, named, config)
-    both = join_pairs(pairs, named.select(*_FIELDS)).join(sims, ["uid1", "uid2"], "left")
-    both = both.withColumn("v", name_address_verdict(config, F.col("fuzzy")))
-    return both.filter(F.col("v.status") >= NEEDS_REVIEW).select("uid1", "uid2", "v.status", "v.sim")
+    return name_address_verdicts(join_pairs(pairs, match_keys(named)).join(sims, ["uid1", "uid2"], "left"), config)
 
 
 def match(canonical: DataFrame, to_match: DataFrame, config: DedupeConfig) -> DataFrame:

@@ -43,7 +43,7 @@ def test_address_truth_table(spark):
         (a("Main St", "12b", "12"), a("Main Street", "12")),
         (a("", "1"), a(" ", "1")),
     ]
-    got = verdicts(spark, pairs, classify.address_status(), ["road", "house_number", "house_number_base"])
+    got = verdicts(spark, pairs, classify.address_status(), ["road", "house_number", "house_number_base", "unit", "floor"])
     assert got == [(3, 1.0), None, None, (0, 0.0), (0, 0.0), (3, 1.0), (3, 1.0), None, (3, 1.0), (2, 0.9), (3, 1.0)]
 
 
