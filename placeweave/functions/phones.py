@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placeweave.functions.text import map_literal
+
 # Calling codes by ISO country.
 CALLING_CODES = {"US": "1", "CA": "1", "GB": "44", "IE": "353", "FR": "33", "DE": "49", "AT": "43", "CH": "41", "IT": "39", "ES": "34", "PT": "351", "NL": "31", "BE": "32", "DK": "45", "NO": "47", "SE": "46", "FI": "358", "PL": "48", "CZ": "420", "AU": "61", "NZ": "64", "JP": "81", "CN": "86", "IN": "91", "BR": "55", "MX": "52", "ZA": "27", "FJ": "679"}
 
 
 def calling_code(country: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in CALLING_CODES.items() for x in kv])
-    return F.try_element_at(table, F.upper(F.trim(country)))
+    return F.try_element_at(map_literal(CALLING_CODES), F.upper(F.trim(country)))
 
 
 def national_number(phone: Column, code: Column) -> Column:

@@ -22,6 +22,11 @@ def fold(c: Column) -> Column:
     return F.replace(F.replace(F.replace(t, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
 
 
+def map_literal(entries: dict[str, str]) -> Column:
+    """A map of plain words as one expression, parsed by Spark at once and folded to a constant."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in entries.items()) + ")")
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits, with ``&`` and ``#`` as tokens of their own; apostrophes vanish inside words."""
     t = F.regexp_replace(fold(c), r"['’`]", "")
@@ -41,8 +46,7 @@ OPTIONAL_WORDS = ["the", "and", "of", "incorporated", "limited", "corporation",
 
 def tokens(c: Column) -> Column:
     """The words of a text with short forms written out; repeats and order kept, null stays null."""
-    table = F.create_map(*[F.lit(x) for kv in EXPANSIONS.items() for x in kv])
-    return F.transform(words(c), lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return F.transform(words(c), lambda w: F.coalesce(F.try_element_at(map_literal(EXPANSIONS), w), w))
 
 
 def joined(c: Column) -> Column:

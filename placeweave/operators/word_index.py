@@ -122,18 +122,22 @@ def geo_frequency(docs: DataFrame, aliases: DataFrame, precision: int = 4) -> Da
     return at.select("geo", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("geo", "word").agg(F.count("*").alias("df"))
 
 
-def geo_tfidf_scores(docs: DataFrame, min_docs: int = 1000, precision: int = 4, min_count: int = 1) -> DataFrame:
-    """``geo, word, score`` with each tile's own documents."""
+def _tiles(docs: DataFrame, min_docs: int, precision: int) -> tuple[DataFrame, DataFrame]:
+    """Counts and aliases of the tiles; callers that have them pass them on as ``tiles``."""
     by_tile = docs_by_tile(docs, precision)
-    aliases = tile_aliases(by_tile, min_docs, precision)
+    return by_tile, tile_aliases(by_tile, min_docs, precision)
+
+
+def geo_tfidf_scores(docs: DataFrame, min_docs: int = 1000, precision: int = 4, min_count: int = 1, tiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``geo, word, score`` with each tile's own documents."""
+    by_tile, aliases = tiles or _tiles(docs, min_docs, precision)
     df = with_min_count(geo_frequency(docs, aliases, precision), min_count)
     return df.join(folded_tiles(by_tile, aliases), "geo").select("geo", "word", tfidf_score(1, F.col("df"), F.col("num_docs")).alias("score"))
 
 
-def geo_info_gain(docs: DataFrame, min_docs: int = 1000, precision: int = 4, min_count: int = 1) -> DataFrame:
+def geo_info_gain(docs: DataFrame, min_docs: int = 1000, precision: int = 4, min_count: int = 1, tiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``geo, word, gain``."""
-    by_tile = docs_by_tile(docs, precision)
-    aliases = tile_aliases(by_tile, min_docs, precision)
+    by_tile, aliases = tiles or _tiles(docs, min_docs, precision)
     freq = with_min_count(geo_frequency(docs, aliases, precision), min_count).join(folded_tiles(by_tile, aliases), "geo").withColumn("p", F.col("df") / F.col("num_docs"))
     return _gain(cooccurrences(_in_tiles(docs, aliases, precision), "geo"), freq.select("geo", "word", "df", "p"), ["geo"])
 

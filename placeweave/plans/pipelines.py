@@ -41,7 +41,8 @@ def name_docs(recs: DataFrame) -> DataFrame:
 
 def name_similarity(pairs: DataFrame, recs: DataFrame, config: DedupeConfig) -> DataFrame:
     """``uid1, uid2, fuzzy``: Soft-TFIDF of the names with TF-IDF or information gain, blended with that of the tile."""
-    docs = name_docs(recs).filter(F.size("tokens") > 0)
+    # Every branch below starts from the documents: they are written once, which also keeps the plan small.
+    docs = materialize(name_docs(recs).filter(F.size("tokens") > 0), "name-docs")
     if config.index_type == "tfidf":
         scores = wi.tfidf_scores(docs, config.min_word_docs)
     else:
@@ -55,11 +56,12 @@ def name_similarity(pairs: DataFrame, recs: DataFrame, config: DedupeConfig) ->
         return out.withColumnRenamed("everywhere", "fuzzy")
     located = docs.filter("lat IS NOT NULL AND lon IS NOT NULL")
     by_tile = wi.docs_by_tile(located, config.model_precision)
-    aliases = wi.tile_aliases(by_tile, config.min_tile_docs, config.model_precision)
+    by_tile = materialize(by_tile, "tiles")
+    aliases = materialize(wi.tile_aliases(by_tile, config.min_tile_docs, config.model_precision), "tile-aliases")
     if config.index_type == "tfidf":
-        near = wi.geo_tfidf_scores(located, config.min_tile_docs, config.model_precision, config.min_word_docs)
+        near = wi.geo_tfidf_scores(located, config.min_tile_docs, config.model_precision, config.min_word_docs, (by_tile, aliases))
     else:
-        near = wi.geo_info_gain(located, config.min_tile_docs, config.model_precision, config.min_word_docs).withColumnRenamed("gain", "score")
+        near = wi.geo_info_gain(located, config.min_tile_docs, config.model_precision, config.min_word_docs, (by_tile, aliases)).withColumnRenamed("gain", "score")
     here = wi.own_tile(used.filter("lat IS NOT NULL AND lon IS NOT NULL"), aliases, config.model_precision)
     both = join_pairs(pairs.select("uid1", "uid2"), wi.scored_docs(here, near, keys=("geo",)))
     geo = both.select("uid1", "uid2", soft("tokens1", "scores1", "tokens2", "scores2").alias("geo"))
@@ -70,7 +72,7 @@ def name_similarity(pairs: DataFrame, recs: DataFrame, config: DedupeConfig) ->
 def dedupe_names(recs: DataFrame, config: DedupeConfig) -> DataFrame:
     """Name and address mode: ``uid1, uid2, status, sim`` of exact and likely duplicates and of pairs to be reviewed. The
     candidate pairs are used several times and written once."""
-    named = recs.filter(F.trim("house") != "")
+    named = materialize(recs.filter(F.trim("house") != ""), "named")
     pairs = materialize(candidate_pairs(named, config), "candidates")
     sims = name_similarity(pairs, named, config)
     return name_address_verdicts(join_pairs(pairs, match_keys(named)).join(sims, ["uid1", "uid2"], "left"), config)
