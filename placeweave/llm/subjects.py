@@ -169,7 +169,8 @@ def fit(documents: DataFrame, examples: DataFrame, key: str = "doc_id", text: st
     tells = (p * np.log(p / mix)).sum(axis=1)
     df, total = _corpus_frequencies(documents, text, vocabulary)
     weight = tells * np.log1p(total / np.maximum(df, 1))
-    kept = tells >= 0.25
+    # A term is kept if it tells a ninth of what a term of a single subject would.
+    kept = tells >= 0.11 * np.log(max(len(subjects), 2))
     vocabulary, weight = [w for w, k in zip(vocabulary, kept) if k], weight[kept]
     terms = {w: i for i, w in enumerate(vocabulary)}
 
