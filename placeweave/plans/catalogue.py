@@ -330,7 +330,10 @@ def q_star_pass2(spark, d):
     return blocking.star_second(keys, first)
 
 
-@query()
+_SECOND = _JUDGED[_JUDGED.index("\nv AS") :].replace("\nv AS", "\nv2 AS").replace("FROM pairs JOIN", "FROM two JOIN").replace("\nw AS", "\nw2 AS").replace("FROM v)", "FROM v2)").replace("\njudged AS", "\njudged2 AS").replace("FROM w WHERE", "FROM w2 WHERE")
+
+
+@query(with_(_STAR + "," + _SECOND, "SELECT uid1, uid2, status, sim FROM judged UNION SELECT uid1, uid2, status, sim FROM judged2"))
 def q_star_pairs(spark, d):
     from dataclasses import replace
 
@@ -384,7 +387,10 @@ def q_jaccard_multiset(spark, d):
 _OPTIONAL = ", ".join(f"'{w}'" for w in OPTIONAL_WORDS)
 
 
-@query(with_(_NAMED + f", c AS (SELECT uid1, uid2, a, b, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN ({_OPTIONAL})))) AS u, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN ({_OPTIONAL})))) AS v FROM np)", "SELECT uid1, uid2, CASE WHEN a IS NULL OR b IS NULL OR len(a) = 0 OR len(b) = 0 THEN NULL WHEN a = b THEN 3 WHEN len(u) > 0 AND u = v THEN 2 WHEN len(list_intersect(u, v)) / nullif(len(list_distinct(list_concat(u, v))), 0) >= 0.5 THEN 1 ELSE 0 END AS status FROM c"))
+_CLASSED = _NAMED + f", c AS (SELECT uid1, uid2, a, b, list_sort(list_distinct(list_filter(a, lambda w: w NOT IN ({_OPTIONAL})))) AS u, list_sort(list_distinct(list_filter(b, lambda w: w NOT IN ({_OPTIONAL})))) AS v FROM np), cl AS (SELECT uid1, uid2, CASE WHEN a IS NULL OR b IS NULL OR len(a) = 0 OR len(b) = 0 THEN NULL WHEN a = b THEN 3 WHEN len(u) > 0 AND u = v THEN 2 WHEN len(list_intersect(u, v)) / nullif(len(list_distinct(list_concat(u, v))), 0) >= 0.5 THEN 1 ELSE 0 END AS status FROM c)"
+
+
+@query(with_(_CLASSED, "SELECT uid1, uid2, status FROM cl"))
 def q_name_class(spark, d):
     return _pairs(spark, d, "house").select("uid1", "uid2", classify.name_status(F.col("house1"), F.col("house2")).alias("status"))
 
@@ -422,7 +428,22 @@ def q_geo_blend(spark, d):
     return sims.select("uid1", "uid2", F.round("fuzzy", 6).alias("similarity"), classify.class_of(F.col("fuzzy")).alias("status"))
 
 
-@query()
+_CODES = ", ".join(f"'{k}': '{v}'" for k, v in CALLING_CODES.items())
+
+
+def _national(p: str) -> str:
+    s = f"regexp_replace(regexp_replace(regexp_replace(lower({p}), '(?:ext\\.?|x)\\s*[0-9]+\\s*$', ''), '[^0-9+]', '', 'g'), '^00', '+')"
+    t = f"CASE WHEN code IS NULL THEN NULL WHEN starts_with({s}, '+' || code) THEN substr({s}, length(code) + 2) WHEN code = '1' AND regexp_matches({s}, '^1[0-9]{{10}}$') THEN substr({s}, 2) ELSE {s} END"
+    return f"nullif(regexp_extract(ltrim({t}, '0'), '^[0-9]{{7,}}$'), '')"
+
+
+_REVISED = _CLASSED + f""",
+ct AS (SELECT uid, nullif(upper(trim(country)), '') AS c, phone FROM rec),
+ph AS (SELECT uid1, uid2, status AS before, a.c AS c1, b.c AS c2, a.phone AS p1, b.phone AS p2, MAP {{{_CODES}}}[coalesce(a.c, b.c, 'US')] AS code FROM cl JOIN ct a ON a.uid = uid1 JOIN ct b ON b.uid = uid2),
+ag AS (SELECT uid1, uid2, before, CASE WHEN coalesce(c1 = c2, true) THEN {_national('p1')} = {_national('p2')} END AS agree FROM ph)"""
+
+
+@query(with_(_REVISED, "SELECT uid1, uid2, before, agree, CASE WHEN before = 1 AND agree THEN 2 WHEN before = 2 AND NOT agree THEN 1 ELSE before END AS after FROM ag"))
 def q_phone_revision(spark, d):
     """The status of each pair of names before and after the phones are compared."""
     both = _pairs(spark, d, "house", "phone", "country")
