@@ -15,7 +15,7 @@ from array import array
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -183,18 +183,18 @@ class Bpe:
             offsets.append(len(out))
         return offsets, out
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text of ids as it becomes known: an incremental UTF-8 machine keeps the bytes of a character that is not
+    def decode_stream(self, ids: Iterable[int], step: int = 1) -> Iterator[str]:
+        """The text of ids as it becomes known, ``step`` ids at a time: an incremental UTF-8 machine keeps the bytes of a character that is not
         whole yet; bytes that are no UTF-8 become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            if s := machine.decode(self.pieces[i]):
+        machine, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        while block := b"".join(map(self.pieces.__getitem__, islice(ids, step))):
+            if s := machine.decode(block):
                 yield s
         if s := machine.decode(b"", True):
             yield s
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+        return "".join(self.decode_stream(ids, 1024))
 
 
 _BUILT: dict[str, Bpe] = {}
