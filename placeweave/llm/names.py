@@ -300,6 +300,35 @@ def _scored(pairs: DataFrame, weights: np.ndarray, threshold: float) -> DataFram
     return pairs.select("a", "b", "near", *columns).mapInArrow(run, "a bigint, b bigint, sim double")
 
 
+def _with_outlets(found: DataFrame, nodes: DataFrame, codes: DataFrame, outlets: int) -> DataFrame:
+    """``a, b, sim`` of the links ``found`` in a town (``a`` without an address) that do not guess at an outlet. ``codes`` are the
+    postcodes seen at each place.
+
+    A node whose name fits those of ``outlets`` or more addresses equally well (the same similarity, kinds and first
+    names) may be any of them: of its links to addresses only those to the one outlet of its postcode are kept. Links
+    between two nodes without address stay, unless one of them is such a node and their postcodes tell them apart, or only
+    one of them has found its address."""
+    known = nodes.select("node", "place", "outlet", "zone", "kinds", "first", "initials")
+    a, b = (known.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in known.columns]) for s in "ab")
+    both = materialize(found.join(a.drop("a_place", "a_outlet"), "a").join(b, "b"), "names-met")
+    full = sum(((F.col(f"a_{c}") == F.col(f"b_{c}")).cast("int") for c in ("kinds", "first", "initials")), F.lit(0))
+    fits = both.filter("b_place IS NOT NULL").withColumn("fit", F.struct(F.round("sim", 9).alias("sim"), full.alias("full")))
+    fits = fits.join(fits.groupBy("a").agg(F.max("fit").alias("best")), "a").filter(F.col("fit") == F.col("best"))
+    seen = codes.select(F.col("place").alias("b_place"), F.col("postcode").alias("a_zone"), F.lit(True).alias("here"))
+    fits = fits.join(seen, ["b_place", "a_zone"], "left")
+    own = F.when(F.col("here"), F.col("b_outlet"))
+    fits = fits.groupBy("a").agg(F.count_distinct("b_outlet").alias("n"), F.count_distinct(own).alias("near_n"), F.max(own).alias("near_outlet"))
+    state = materialize(fits.select(F.col("a").alias("node"), (F.col("n") >= outlets).alias("chain"), F.when((F.col("n") >= outlets) & (F.col("near_n") == 1), F.col("near_outlet")).alias("home")), "names-outlets")
+    for s in "ab":
+        both = both.join(state.select(F.col("node").alias(s), F.col("chain").alias(f"{s}_chain"), F.col("home").alias(f"{s}_home")), s, "left")
+    chain = {s: F.coalesce(F.col(f"{s}_chain"), F.lit(False)) for s in "ab"}
+    settled = {s: F.coalesce(~F.col(f"{s}_chain") | F.col(f"{s}_home").isNotNull(), F.lit(False)) for s in "ab"}
+    to_address = ~chain["a"] | F.coalesce(F.col("b_outlet") == F.col("a_home"), F.lit(False))
+    blank = (F.col("a_zone") == "") | (F.col("b_zone") == "")
+    between = ~(chain["a"] | chain["b"]) | (~blank & (F.col("a_zone") == F.col("b_zone"))) | (blank & ~settled["a"] & ~settled["b"])
+    return both.filter(F.when(F.col("b_place").isNotNull(), to_address).otherwise(between)).select("a", "b", "sim")
+
+
 def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_name: str = "wof:name", street: str = "street", number: str = "number", city: str = "city", postcode: str = "postcode", threshold: float = 0.25, linkage: float = 0.2, outlets: int = 3, crowd: int = 64) -> DataFrame:
     """Pairs ``<key>_a < <key>_b`` of records that name the same venue at one place.
 
@@ -316,8 +345,9 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     without address join the one venue that their name fits best. 5. Pairs of a group are given, unless both have an
     address and these differ.
 
-    A name found at ``outlets`` or more addresses of a town is a chain's there: without an address its outlet cannot be
-    known, so such records are linked to none."""
+    A record without an address whose name fits names at ``outlets`` or more addresses of its town equally well is a chain's:
+    it goes with the one outlet that shares its postcode, if there is one, and with none otherwise; records without
+    address are linked to each other all the same (:func:`_with_outlets`)."""
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(f"`{name}`").alias("name"), F.col(f"`{other_name}`").alias("wof"), F.col(street).alias("street"), F.col(number).alias("number"), F.col(city).alias("city"), F.col(postcode).alias("postcode"))
     read = materialize(_read(rows), "names-read")
     spellings = read.filter((F.col("street") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy("street").agg(F.count("*").alias("n"))
@@ -327,15 +357,14 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     lost = F.col("house") == ""
     placed = placed.withColumn("place", F.when(~lost, F.xxhash64("town", "house", "street", "direction")))
     who = ("brand", "kinds", "first", "initials")
-    placed = placed.select("id", "town", "place", "kind", *who, F.xxhash64(F.coalesce("place", F.xxhash64("town")), "kind", lost, *who).alias("node"))
+    # What tells outlets apart: the number and the street, with or without a letter or a direction.
+    placed = placed.withColumn("outlet", F.when(~lost, F.xxhash64("town", F.regexp_extract("house", r"^\d+", 0), "street")))
+    placed = placed.select("id", "town", "place", "outlet", "kind", "postcode", *who, F.xxhash64(F.coalesce("place", F.xxhash64("town", "postcode")), "kind", lost, *who).alias("node"))
     placed = materialize(placed, "names-placed")
-    known_as = F.xxhash64("town", "brand")
-    chains = placed.filter("place IS NOT NULL").select(known_as.alias("chain"), "place").distinct().groupBy("chain").agg(F.count("*").alias("n")).filter(F.col("n") >= outlets)
-    chains = small_side(chains.select("chain"), "names-chains")
-    placed = placed.withColumn("chain", F.when(F.col("place").isNull(), known_as)).join(chains, "chain", "left_anti").drop("chain")
 
     # A node's members are equal in what was read, so it needs no more than one row.
-    nodes = materialize(placed.select("node", "town", "place", "kind", *who).distinct(), "names-nodes")
+    zone = F.when(F.col("place").isNull(), F.col("postcode")).alias("zone")
+    nodes = materialize(placed.select("node", "town", "place", "outlet", "kind", zone, *who).distinct(), "names-nodes")
     weights = gram_weights(nodes.select("brand").distinct())
 
     home = nodes.filter("place IS NOT NULL")
@@ -358,7 +387,9 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     met = a.filter("lost").alias("x").join(b.alias("y"), F.col("x.entry") == F.col("y.entry"))
     met = met.filter((F.col("a") != F.col("b")) & (~F.col("y.lost") | (F.col("a") < F.col("b"))) & (F.levenshtein(letters("a_brand"), letters("b_brand"), 4) >= 0) & ~again)
     town = met.withColumn("near", F.lit(False))
-    links = _scored(same.unionByName(town.select(*columns, "near")), weights, threshold)
+    found = materialize(_scored(town.select(*columns, "near"), weights, threshold), "names-in-town")
+    codes = placed.filter("place IS NOT NULL AND postcode <> ''").select("place", "postcode").distinct()
+    links = _scored(same, weights, threshold).unionByName(_with_outlets(found, nodes, codes, outlets))
     groups = average_linkage(materialize(links, "names-links"), linkage)
 
     member = placed.select("id", "node", "place", "kind").join(groups, "node", "left").withColumn("venue", F.coalesce("cluster", "node"))

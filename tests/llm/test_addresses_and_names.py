@@ -125,6 +125,18 @@ def test_names_are_matched(spark):
     assert match_names(df.limit(0)).collect() == []
 
 
+def test_names_of_chains_without_an_address(spark):
+    # Four outlets, two of them in one postcode: those without address meet each other, and the one outlet of their postcode.
+    outlets = [(i, "Zubeka Fitness Center", None, "Elm Road", str(i), "Kestrel Bay", code) for i, code in ((1, "90001"), (2, "90002"), (3, "90003"), (4, "90003"))]
+    lost = [(10 + i, "Zubeka Fitness Ctr", None, None, None, "Kestrel Bay", code) for i, code in enumerate((None, None, "90001", "90003", "90003", "90002"))]
+    people = [(20 + i, f"{first} Vunelwila", None, "Oak Road", str(i + 1), "Kestrel Bay", None) for i, first in enumerate(("Edward", "James", "Susan"))]
+    shops = [(30 + i, f"Fororsorve {kind}", None, "Main Road", str(i + 1), "Kestrel Bay", None) for i, kind in enumerate(("Day Spa", "Hair Salon", "Bakery"))]
+    alone = [(40, "Ed Vunelwila", None, None, None, "Kestrel Bay", None), (41, "Fororsorve Hair Salon", None, None, None, "Kestrel Bay", None)]
+    got = {tuple(r) for r in match_names(spark.createDataFrame(outlets + lost + people + shops + alone, NAMES)).collect()}
+    assert {(10, 11), (1, 12), (13, 14), (2, 15), (20, 40), (31, 41)} <= got
+    assert not got & {(1, 10), (2, 10), (3, 10), (1, 11), (3, 13), (4, 13), (3, 14), (2, 12), (1, 15), (12, 13), (12, 15), (21, 40), (22, 40), (30, 41), (32, 41)}
+
+
 def test_a_crowded_address_loses_nothing(spark):
     rng = random.Random(8)
     syllables = ["ba", "den", "fo", "gu", "hel", "ka", "lor", "mi", "nu", "pe", "ran", "so", "tel", "vu", "zor"]
