@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, settled_cities
@@ -135,12 +136,26 @@ def brand_grams(brand: str) -> set[int]:
     return out
 
 
-def index_entries(brand: Column) -> Column:
-    """The entries of a brand in the inverted index: the outer n-grams of its letters, of four letters, of seven where it
-    has several words; either end survives an edit at the other."""
-    letters = F.replace(brand, F.lit(" "), F.lit(""))
-    k = F.when(brand.contains(" "), 7).otherwise(4)
-    return F.array_distinct(F.array(F.concat(F.substr(letters, F.lit(1), k), F.lit("<")), F.concat(F.lit(">"), F.right(letters, k))))
+def _forms(word: str, cut: int) -> set[str]:
+    """What is left of the first eight letters (short words being filled up) with ``cut`` of them left out. Words at most
+    ``cut`` edits apart, two neighbours changing places being one, share a form."""
+    head = word[:8].ljust(8, "$")
+    return {f"{cut}{''.join(x)}" for x in combinations(head, 8 - cut)}
+
+
+def index_entries(brand: str, weight: Callable[[str], float] = len) -> tuple[set[str], set[str]]:
+    """The entries of a brand in the inverted index as the one with fewer words of two, and as the one with more: any two
+    brands on which :func:`words_agree` share one of the former with one of the latter.
+
+    Every word of the one must be found in the other, so the heaviest will do, where the other has all. Beside them stand
+    the entries of the letters without spaces."""
+    letters, words = brand.replace(" ", ""), brand.split(" ")
+
+    def of(w: str) -> set[str]:
+        return {f"0{w}"} if len(w) < 4 else (_forms(w, 1) if len(w) <= 8 else set()) | (_forms(w, 2) if len(w) >= 8 else set())
+
+    whole = (_forms(letters, 1) if len(letters) <= 8 else set()) | (_forms(letters, 2) if len(brand) >= 8 else set())
+    return whole | of(max(words, key=lambda w: (weight(w), w))), whole.union(*map(of, words))
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -265,6 +280,29 @@ def _prefixes(nodes: DataFrame, weights: np.ndarray, threshold: float) -> DataFr
     return nodes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", gram int")
 
 
+def _entries(brands: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``at, town, lost, few, form``: the entries of each ``at, town, lost, brand``, ``few`` being those of a brand with fewer words
+    than the other."""
+    sent = brands.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w2 = sent.value.astype(np.float64) ** 2
+        heavy = lru_cache(200_000)(lambda w: float(w2[list(brand_grams(w))].sum()))
+
+        @lru_cache(50_000)
+        def both(brand: str) -> tuple[list[str], list[bool]]:
+            few, many = index_entries(brand, heavy)
+            return [*few, *many], [True] * len(few) + [False] * len(many)
+
+        for b in batches:
+            got = list(map(both, b.column("brand").to_pylist()))
+            again = pa.array(np.repeat(np.arange(len(got)), [len(f) for f, _ in got]), pa.int32())
+            few, form = pa.array([x for _, fs in got for x in fs], pa.bool_()), pa.array([x for fs, _ in got for x in fs], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(again) for c in ("at", "town", "lost")], few, form], ["at", "town", "lost", "few", "form"])
+
+    return brands.select("at", "town", "lost", "brand").mapInArrow(run, "at bigint, town string, lost boolean, few boolean, form string")
+
+
 def _scored(pairs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """``a, b, sim`` of the candidate pairs whose names agree; ``near`` pairs share an address, the others must be closer."""
     sent = pairs.sparkSession.sparkContext.broadcast(weights)
@@ -339,7 +377,8 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     1. Records equal in everything that is read from them become one node. 2. Candidates: nodes of one address (all of
     them where there are at most ``crowd``, otherwise those whose prefixes of n-grams meet, which no pair over the threshold
     fails to do, so nothing is lost), and, for
-    nodes without a readable address, nodes of the same town that share an entry of the index of outer n-grams. 3. A
+    nodes without a readable address, nodes of the same town whose brands share an entry of the index of words with letters
+    left out, which all do on whose words step 3 agrees. 3. A
     candidate becomes a link if the cosine of the weighted character n-grams reaches ``threshold`` and an exact check of
     words, kinds and first names agrees. 4. Links are grouped by average linkage, cut at ``linkage``: records
     without address join the one venue that their name fits best. 5. Pairs of a group are given, unless both have an
@@ -377,16 +416,15 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     a, b = (listed.select("place", "gram", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*who, "kind")]) for s in "ab")
     same = same.unionByName(a.join(b, ["place", "gram"]).filter(streets).select(*columns).dropDuplicates(["a", "b"])).withColumn("near", F.lit(True))
 
-    # The index carries what the names are compared by, so that candidates too many edits apart end in the join, and those
-    # left need no further one. A pair that shares both entries is taken at the first.
-    lost = nodes.select("node", F.col("place").isNull().alias("lost"), "town", *who, F.explode(index_entries(F.col("brand"))).alias("entry"))
-    lost = materialize(lost.select("node", "lost", *who, F.col("entry").startswith(">").alias("last"), F.xxhash64("town", "entry").alias("entry")), "names-index")
-    a, b = (lost.select("entry", "last", "lost", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in who]) for s in "ab")
-    letters = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    again = F.col("x.last") & (F.get(index_entries(F.col("a_brand")), 0) == F.get(index_entries(F.col("b_brand")), 0))
-    met = a.filter("lost").alias("x").join(b.alias("y"), F.col("x.entry") == F.col("y.entry"))
-    met = met.filter((F.col("a") != F.col("b")) & (~F.col("y.lost") | (F.col("a") < F.col("b"))) & (F.levenshtein(letters("a_brand"), letters("b_brand"), 4) >= 0) & ~again)
-    town = met.withColumn("near", F.lit(False))
+    # Brands of a town meet in the index once, whatever the number of their nodes; only entries of a brand without address
+    # are looked up.
+    brands = nodes.groupBy("town", "brand").agg(F.max(F.col("place").isNull()).alias("lost")).withColumn("at", F.xxhash64("town", "brand"))
+    index = materialize(_entries(brands, weights).select("at", "lost", "few", F.xxhash64("town", "form").alias("entry")), "names-index")
+    a, b = (index.select("entry", "few", "lost", F.col("at").alias(f"{s}_at")) for s in "ab")
+    met = a.filter("lost").drop("lost").alias("x").join(b.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.few") != F.col("y.few")))
+    met = materialize(met.select("a_at", "b_at").distinct(), "names-met-brands")
+    a, b = (nodes.select(F.xxhash64("town", "brand").alias(f"{s}_at"), F.col("place").isNull().alias(f"{s}_lost"), F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in who]) for s in "ab")
+    town = met.join(a.filter("a_lost"), "a_at").join(b, "b_at").filter((F.col("a") != F.col("b")) & (~F.col("b_lost") | (F.col("a") < F.col("b")))).withColumn("near", F.lit(False))
     found = materialize(_scored(town.select(*columns, "near"), weights, threshold), "names-in-town")
     codes = placed.filter("place IS NOT NULL AND postcode <> ''").select("place", "postcode").distinct()
     links = _scored(same, weights, threshold).unionByName(_with_outlets(found, nodes, codes, outlets))

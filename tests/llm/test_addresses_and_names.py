@@ -5,7 +5,7 @@ import pytest
 
 from placeweave.llm.addresses import Slips, match_addresses, read_city, read_postcode, read_street
 from placeweave.llm.linkage import average_linkage
-from placeweave.llm.names import edits, first_names_agree, kinds_agree, match_names, read_name, words_agree
+from placeweave.llm.names import edits, first_names_agree, index_entries, kinds_agree, match_names, read_name, words_agree
 from placeweave.llm.ngrams import corrections
 from pyspark.sql import functions as F
 
@@ -137,6 +137,33 @@ def test_names_of_chains_without_an_address(spark):
     assert not got & {(1, 10), (2, 10), (3, 10), (1, 11), (3, 13), (4, 13), (3, 14), (2, 12), (1, 15), (12, 13), (12, 15), (21, 40), (22, 40), (30, 41), (32, 41)}
 
 
+def test_brands_that_agree_meet_in_the_index():
+    rng = random.Random(3)
+
+    def slip(w):
+        i, c = rng.randrange(len(w)), rng.choice("abk")
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+
+    agreed = 0
+    for _ in range(4000):
+        words = ["".join(rng.choice("abdeklo") for _ in range(rng.choice([1, 3, 4, 6, 7, 8, 9, 14]))) for _ in range(rng.randrange(1, 4))]
+        other = [slip(slip(w) or w) if rng.random() < 0.5 else slip(w) if rng.random() < 0.5 else w for w in words]
+        other = rng.choice([other, other[1:] or other, ["".join(other)]])
+        a, b = " ".join(words), " ".join(w for w in other if w) or "x"
+        if words_agree(a, b):
+            agreed += 1
+            (few_a, many_a), (few_b, many_b) = index_entries(a), index_entries(b)
+            assert few_a & many_b or many_a & few_b, (a, b)
+    assert agreed > 1000
+
+
+def test_slips_without_an_address_are_found(spark):
+    names = [("Zubeka Bakery", "Zupeka Bakery"), ("Bluesky Cafe", "Blue Sky Cafe"), ("Tulip Quartz Clinic", "Tulop Quarts Clinic"), ("Vetorsuro Hollow Bank", "Vetorsuro Bank"), ("Hollow Knoll Spa", "Hollw Knol Spa")]
+    rows = [(10 * i + j, n, None, *(("Main Road", str(i + 1)) if j else (None, None)), "Kestrel Bay", None) for i, pair in enumerate(names) for j, n in enumerate(pair)]
+    got = {tuple(r) for r in match_names(spark.createDataFrame(rows, NAMES)).collect()}
+    assert got == {(10 * i, 10 * i + 1) for i in range(len(names))}
+
+
 def test_a_crowded_address_loses_nothing(spark):
     rng = random.Random(8)
     syllables = ["ba", "den", "fo", "gu", "hel", "ka", "lor", "mi", "nu", "pe", "ran", "so", "tel", "vu", "zor"]
