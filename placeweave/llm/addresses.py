@@ -196,16 +196,45 @@ def located(records: DataFrame, key: str, street: Column, number: Column, city:
     read = materialize(_parsed(rows), "addresses-read")
     spellings = read.filter(~F.col("name").rlike(r"^\d+$")).groupBy("name").agg(F.count("*").alias("n"))
     better = small_side(corrections(spellings, "name", "n").select(F.col("text").alias("name"), F.col("to").alias("name_to")), "street-corrections")
-    return settled_cities(read).join(better, "name", "left").select("id", "town", "house", "kind", "direction", "name", F.coalesce("name_to", "name").alias("street"))
-
-
-def same_address_pairs(places: DataFrame, key: str, threshold: float = 0.3, rare: int = 8) -> DataFrame:
+    placed = settled_cities(read).join(better, "name", "left").select("id", "town", "house", "kind", "direction", "name", F.coalesce("name_to", "name").alias("street"))
+    return resolved_streets(materialize(placed, "addresses-settled"))
+
+
+def resolved_streets(rows: DataFrame, threshold: float = 0.3, twin: int = 8) -> DataFrame:
+    """``rows`` (with ``town, house, direction, kind, street``) with ``street`` replaced by the spelling it stands for at its town,
+    house number and direction.
+
+    All different spellings found there, however many rows bear them, are compared through an index of the prefixes of their
+    weighted n-grams, with the cosine and the number of edits tested; kinds must not contradict each other. Each spelling
+    stands for the one most frequent in the town of those it is close to. Two spellings are two streets if the rarer has
+    ``twin`` rows in the town and the other less than ``twin`` times as many: slips of the pen are not as frequent."""
+    at = ["town", "house", "direction"]
+    spots = rows.filter((F.col("house") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy(*at, "street", "kind").agg(F.count("*").alias("k"))
+    spots = materialize(spots, "address-spots")
+    v = vectors(weighted(spots.select("street").distinct(), "street"), threshold).withColumnRenamed("text", "street")
+    borne = spots.groupBy("town", "street").agg(F.sum("k").alias("n"))
+    several = spots.groupBy(*at).agg(F.count_distinct("street").alias("several")).filter("several > 1").drop("several")
+    odd = materialize(spots.join(several, at, "left_semi").drop("k").join(borne, ["town", "street"]).join(v, "street"), "addresses-compared")
+    a, b = (odd.select(*[F.col(c).alias(f"{s}_{c}") for c in ("street", "kind", "n", "grams", "squares", "norm")], *at, F.explode("prefix").alias("gram")) for s in "ab")
+    kinds = (F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")
+    # From the rarer to the more frequent; the order of the letters decides between equals.
+    up = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_street") > F.col("b_street")))
+    slips = (F.col("a_n") < twin) | (F.col("b_n") >= twin * F.col("a_n"))
+    met = a.join(b, [*at, "gram"]).filter((F.col("a_street") != F.col("b_street")) & up & slips & kinds)
+    met = met.filter(one_edit_apart(F.col("a_street"), F.col("b_street"), F.when(F.length("a_street") < 8, 1).otherwise(3)) & (cosine("a", "b") >= threshold))
+    best = met.groupBy(*at, F.col("a_street").alias("street"), F.col("a_kind").alias("kind")).agg(F.max(F.struct(F.col("b_n").alias("n"), F.col("b_street").alias("street"), F.col("b_kind").alias("kind"))).alias("to"))
+    best = materialize(best.select(*at, "street", "kind", F.col("to.street").alias("to_street"), F.col("to.kind").alias("to_kind")), "addresses-resolved")
+    # What a spelling stands for may be taken for a third.
+    above = best.select(*at, F.col("street").alias("to_street"), F.col("kind").alias("to_kind"), F.col("to_street").alias("above"))
+    best = best.join(above, [*at, "to_street", "to_kind"], "left").select(*at, "street", "kind", F.coalesce("above", "to_street").alias("resolved"))
+    return rows.join(small_side(best, "street-slips"), [*at, "street", "kind"], "left").withColumn("street", F.coalesce("resolved", "street")).drop("resolved")
+
+
+def same_address_pairs(places: DataFrame, key: str) -> DataFrame:
     """``<key>_a < <key>_b`` of the rows of :func:`located` that denote one address.
 
     House number with letter, town and direction must be equal, and so must the kind where both give one. The names are
-    equal if their settled spellings are. Names that have no settled spelling, because too few rows bear anything like
-    them, are compared with each other where town, house number and direction agree: through an index of the prefixes of
-    their weighted n-grams, with the cosine and the number of edits tested.
+    equal if their settled spellings are.
 
     Rows are joined on the whole address, so a join key holds the rows of one building; adaptive execution splits a
     hot one. Every pair is a case to be found, hence the result is as large as the number of cases."""
@@ -213,16 +242,7 @@ def same_address_pairs(places: DataFrame, key: str, threshold: float = 0.3, rare
     at = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("town", "house", "direction")]
     kinds = (F.col("a.kind") == F.col("b.kind")) | (F.col("a.kind") == "") | (F.col("b.kind") == "")
     ids = (F.least("a.id", "b.id").alias(f"{key}_a"), F.greatest("a.id", "b.id").alias(f"{key}_b"))
-    equal = a.join(b, [*at, F.col("a.street") == F.col("b.street"), F.col("a.id") < F.col("b.id"), kinds]).select(*ids)
-
-    few = places.filter(~F.col("street").rlike(r"^\d+$")).groupBy("street").agg(F.count("*").alias("n")).filter(F.col("n") < rare)
-    v = vectors(weighted(few, "street"), threshold)
-    odd = materialize(places.join(v, places["street"] == v["text"]).drop("text"), "addresses-unsettled")
-    a, b = (odd.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "kind", "street", "grams", "squares", "norm")], "town", "house", "direction", F.explode("prefix").alias("gram")) for s in "ab")
-    met = a.join(b, ["town", "house", "direction", "gram"]).filter((F.col("a_id") < F.col("b_id")) & (F.col("a_street") != F.col("b_street")))
-    met = met.filter(((F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")) & one_edit_apart(F.col("a_street"), F.col("b_street"), F.when(F.length("a_street") < 8, 1).otherwise(3)))
-    alike = met.filter(cosine("a", "b") >= threshold).select(F.col("a_id").alias(f"{key}_a"), F.col("b_id").alias(f"{key}_b")).distinct()
-    return equal.unionByName(alike)
+    return a.join(b, [*at, F.col("a.street") == F.col("b.street"), F.col("a.id") < F.col("b.id"), kinds]).select(*ids)
 
 
 def match_addresses(records: DataFrame, key: str = "uid", street: str = "street", number: str = "number", city: str = "city", postcode: str = "postcode") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, settled_cities
+from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, resolved_streets, settled_cities
 from placeweave.llm.fusion import NAME_FILLERS
 from placeweave.llm.linkage import average_linkage
 from placeweave.llm.ngrams import corrections
@@ -391,7 +391,8 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     read = materialize(_read(rows), "names-read")
     spellings = read.filter((F.col("street") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy("street").agg(F.count("*").alias("n"))
     better = small_side(corrections(spellings, "street", "n").select(F.col("text").alias("street"), F.col("to").alias("street_to")), "street-corrections")
-    placed = settled_cities(read).join(better, "street", "left").withColumn("street", F.coalesce("street_to", "street"))
+    placed = settled_cities(read).join(better, "street", "left").withColumn("street", F.coalesce("street_to", "street")).drop("street_to")
+    placed = resolved_streets(materialize(placed, "names-settled"))
     # An address and a node are known by 64-bit hashes of what they consist of.
     lost = F.col("house") == ""
     placed = placed.withColumn("place", F.when(~lost, F.xxhash64("town", "house", "street", "direction")))

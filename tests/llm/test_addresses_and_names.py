@@ -51,6 +51,15 @@ def test_addresses_are_matched(spark):
     assert match_addresses(df.limit(0)).collect() == []
 
 
+def test_spellings_of_streets_are_compared_whatever_their_counts(spark):
+    # Ten rows of the right spelling and two of its slip: too many to be rare, too few to be established.
+    rows = [(i, "Walford Road", str(i), "Kestrel Bay", None) for i in range(1, 11)] + [(20, "Walfrod Road", "1", "Kestrel Bay", None), (21, "Wlaford Rd", "1", "Kestrel Bay", None), (22, "Walfrod Road", "2", "Kestrel Bay", None)]
+    # Two streets of one town, both well attested.
+    rows += [(100 + 20 * j + i, f"{n} Road", str(i), "Port Almond", None) for j, n in enumerate(("Millerton", "Hillerton")) for i in range(1, 13)]
+    got = {tuple(r) for r in match_addresses(spark.createDataFrame(rows, ADDRESS)).collect()}
+    assert got == {(1, 20), (1, 21), (20, 21), (2, 22)}
+
+
 def test_cities_and_postcodes():
     assert [read_city(c) for c in ("St. Orvin", "  SAINT   orvin ", "N Brindle", "Grünebach", "St", "", None)] == ["saint orvin", "saint orvin", "north brindle", "grunebach", "st", "", ""]
     assert [read_postcode(c) for c in (" 90403-1234 ", "zk9 4jv", "-", None)] == ["90403", "ZK94JV", "", ""]
