@@ -179,7 +179,14 @@ def settled_cities(rows: DataFrame) -> DataFrame:
     The vocabularies have a row per spelling and per postcode; they are counted with partial sums and joined back by
     broadcast while they are small, otherwise on the spelling, where adaptive execution splits a hot city."""
     seen = rows.filter(F.col("city") != "").groupBy("city").agg(F.count("*").alias("n"))
-    better = small_side(corrections(seen, "city", "n"), "city-corrections")
+    better = materialize(corrections(seen, "city", "n"), "city-corrections")
+    # A town of its own has postcodes of its own: a spelling is kept if most of its rows with a postcode are where the other
+    # town is never named.
+    codes = rows.filter((F.col("city") != "") & (F.col("postcode") != "")).groupBy("city", "postcode").agg(F.count("*").alias("n"))
+    own = codes.join(F.broadcast(better) if better.count() <= 200_000 else better, F.col("city") == F.col("text")).select("text", "to", "postcode", "n")
+    own = own.join(codes.select(F.col("city").alias("to"), "postcode", F.lit(1).alias("here")), ["to", "postcode"], "left")
+    towns = own.groupBy("text").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("here", F.lit(0))).alias("shared")).filter("2 * shared < n")
+    better = small_side(better.join(towns, "text", "left_anti"), "city-slips")
     named = rows.join(better.select(F.col("text").alias("city"), F.col("to").alias("city_to")), "city", "left")
     named = named.withColumn("town", F.coalesce("city_to", F.nullif("city", F.lit("")))).drop("city_to")
     zone = named.filter(F.col("town").isNotNull() & (F.col("postcode") != "")).groupBy("postcode", "town").agg(F.count("*").alias("n"))
@@ -194,20 +201,18 @@ def located(records: DataFrame, key: str, street: Column, number: Column, city:
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), street.alias("street"), number.alias("number"), city.alias("city"), postcode.alias("postcode"))
     rows = rows.filter(F.col("street").isNotNull())
     read = materialize(_parsed(rows), "addresses-read")
-    spellings = read.filter(~F.col("name").rlike(r"^\d+$")).groupBy("name").agg(F.count("*").alias("n"))
-    better = small_side(corrections(spellings, "name", "n").select(F.col("text").alias("name"), F.col("to").alias("name_to")), "street-corrections")
-    placed = settled_cities(read).join(better, "name", "left").select("id", "town", "house", "kind", "direction", "name", F.coalesce("name_to", "name").alias("street"))
+    placed = settled_cities(read).select("id", "town", "house", "kind", "direction", "name", F.col("name").alias("street"))
     return resolved_streets(materialize(placed, "addresses-settled"))
 
 
-def resolved_streets(rows: DataFrame, threshold: float = 0.3, twin: int = 8) -> DataFrame:
+def resolved_streets(rows: DataFrame, threshold: float = 0.3, twin: int = 8, often: int = 50) -> DataFrame:
     """``rows`` (with ``town, house, direction, kind, street``) with ``street`` replaced by the spelling it stands for at its town,
     house number and direction.
 
     All different spellings found there, however many rows bear them, are compared through an index of the prefixes of their
     weighted n-grams, with the cosine and the number of edits tested; kinds must not contradict each other. Each spelling
     stands for the one most frequent in the town of those it is close to. Two spellings are two streets if the rarer has
-    ``twin`` rows in the town and the other less than ``twin`` times as many: slips of the pen are not as frequent."""
+    ``twin`` rows in the town and the other less than ``often`` times as many: slips of the pen are not as frequent."""
     at = ["town", "house", "direction"]
     spots = rows.filter((F.col("house") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy(*at, "street", "kind").agg(F.count("*").alias("k"))
     spots = materialize(spots, "address-spots")
@@ -219,7 +224,7 @@ def resolved_streets(rows: DataFrame, threshold: float = 0.3, twin: int = 8) ->
     kinds = (F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")
     # From the rarer to the more frequent; the order of the letters decides between equals.
     up = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_street") > F.col("b_street")))
-    slips = (F.col("a_n") < twin) | (F.col("b_n") >= twin * F.col("a_n"))
+    slips = (F.col("a_n") < twin) | (F.col("b_n") >= often * F.col("a_n"))
     met = a.join(b, [*at, "gram"]).filter((F.col("a_street") != F.col("b_street")) & up & slips & kinds)
     met = met.filter(one_edit_apart(F.col("a_street"), F.col("b_street"), F.when(F.length("a_street") < 8, 1).otherwise(3)) & (cosine("a", "b") >= threshold))
     best = met.groupBy(*at, F.col("a_street").alias("street"), F.col("a_kind").alias("kind")).agg(F.max(F.struct(F.col("b_n").alias("n"), F.col("b_street").alias("street"), F.col("b_kind").alias("kind"))).alias("to"))

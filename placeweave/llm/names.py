@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, resolved_streets, settled_cities
 from placeweave.llm.fusion import NAME_FILLERS
 from placeweave.llm.linkage import average_linkage
-from placeweave.llm.ngrams import corrections
 from placeweave.session import materialize, ship, small_side
 
 # Short forms of first names, after the name they stand for.
@@ -389,10 +388,7 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     address are linked to each other all the same (:func:`_with_outlets`)."""
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(f"`{name}`").alias("name"), F.col(f"`{other_name}`").alias("wof"), F.col(street).alias("street"), F.col(number).alias("number"), F.col(city).alias("city"), F.col(postcode).alias("postcode"))
     read = materialize(_read(rows), "names-read")
-    spellings = read.filter((F.col("street") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy("street").agg(F.count("*").alias("n"))
-    better = small_side(corrections(spellings, "street", "n").select(F.col("text").alias("street"), F.col("to").alias("street_to")), "street-corrections")
-    placed = settled_cities(read).join(better, "street", "left").withColumn("street", F.coalesce("street_to", "street")).drop("street_to")
-    placed = resolved_streets(materialize(placed, "names-settled"))
+    placed = resolved_streets(materialize(settled_cities(read), "names-settled"))
     # An address and a node are known by 64-bit hashes of what they consist of.
     lost = F.col("house") == ""
     placed = placed.withColumn("place", F.when(~lost, F.xxhash64("town", "house", "street", "direction")))

@@ -60,6 +60,14 @@ def test_spellings_of_streets_are_compared_whatever_their_counts(spark):
     assert got == {(1, 20), (1, 21), (20, 21), (2, 22)}
 
 
+def test_well_attested_streets_and_towns_stay(spark):
+    rows = [(i, "Hill Road", str(i), "Port Almond", None) for i in range(1, 501)] + [(600 + i, "Mill Road", str(i), "Port Almond", None) for i in range(1, 21)]
+    rows += [(1000 + i, "Oak Road", str(i), "Clayton", "90001") for i in range(1, 41)] + [(1100 + i, "Oak Road", str(i), "Layton", "80001") for i in range(1, 4)]
+    rows += [(1200, "Oak Road", "7", "Clatyon", "90001"), (1201, "Oak Road", "8", "Clatyon", None)]
+    got = {tuple(r) for r in match_addresses(spark.createDataFrame(rows, ADDRESS)).collect()}
+    assert got == {(1007, 1200), (1008, 1201)}
+
+
 def test_cities_and_postcodes():
     assert [read_city(c) for c in ("St. Orvin", "  SAINT   orvin ", "N Brindle", "Grünebach", "St", "", None)] == ["saint orvin", "saint orvin", "north brindle", "grunebach", "st", "", ""]
     assert [read_postcode(c) for c in (" 90403-1234 ", "zk9 4jv", "-", None)] == ["90403", "ZK94JV", "", ""]
