@@ -22,7 +22,8 @@ def _parts(config: DedupeConfig) -> Column:
         return F.array(address)
     if config.name_only:
         return F.array(F.concat(F.lit("no|"), name))
-    return F.array(F.when(name.isNotNull() & address.isNotNull(), F.concat_ws("|", F.lit("na"), name, address)))
+    # Whatever the order and the spelling of their words, names at one address meet, and the verdict on names decides.
+    return F.array(F.when(name.isNotNull(), address))
 
 
 def _places(config: DedupeConfig, around: bool) -> Column:

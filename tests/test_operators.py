@@ -123,6 +123,12 @@ def test_keys_by_city_postcode_and_nothing(spark):
     assert blocking.candidate_pairs(a, DedupeConfig(address_only=True)).count() == 0
 
 
+def test_names_at_one_address_meet_whatever_their_words(spark):
+    at = dict(house_number="1", **BLOCK)
+    a = recs(spark, dict(uid=1, house="Public Library Branch of Elmfield", **at), dict(uid=2, house="Elmfield Public Library Branch", **at), dict(uid=3, house="Pubilc Library Branch of Elmfield", **at), dict(uid=4, **at))
+    assert {tuple(r) for r in blocking.candidate_pairs(a, DedupeConfig()).collect()} == {(2, 1), (3, 1), (3, 2)}
+
+
 def test_linkage_and_geocoding(spark):
     base = dict(house_number="5", road="Elm Rd", postcode="90001")
     a = recs(spark, dict(uid=1, lat=10.0, lon=20.0, **base), dict(uid=2, lat=10.0, lon=20.0, **base), dict(uid=7, **base), dict(uid=8, **{**base, "house_number": "6"}))
