@@ -515,7 +515,7 @@ def q_dedupe_names(spark, d):
 def q_resolve(spark, d):
     """The whole way from Features to one JSON response each, by name and address."""
     features = with_guid(_features(spark, d))
-    return pipelines.resolve(features, NAMES)
+    return pipelines.resolve(features, DedupeConfig())
 
 
 assert LIKELY_DUPLICATE == 2 and CALLING_CODES["US"] == "1"  # as the SQL has them

@@ -129,6 +129,15 @@ def test_names_at_one_address_meet_whatever_their_words(spark):
     assert {tuple(r) for r in blocking.candidate_pairs(a, DedupeConfig()).collect()} == {(2, 1), (3, 1), (3, 2)}
 
 
+def test_the_whole_way_runs_with_the_default_options(monkeypatch):
+    from placeweave.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "_features", lambda spark, d: None)
+    monkeypatch.setattr(catalogue, "with_guid", lambda features: features)
+    monkeypatch.setattr(pipelines, "resolve", lambda features, config: config)
+    assert catalogue.QUERIES["q_resolve"](None, "") == DedupeConfig()
+
+
 def test_linkage_and_geocoding(spark):
     base = dict(house_number="5", road="Elm Rd", postcode="90001")
     a = recs(spark, dict(uid=1, lat=10.0, lon=20.0, **base), dict(uid=2, lat=10.0, lon=20.0, **base), dict(uid=7, **base), dict(uid=8, **{**base, "house_number": "6"}))
