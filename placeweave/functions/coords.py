@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Optional sign, one to three digits with an optional fraction, then optional minutes and seconds, then an optional direction.
-_GRAMMAR = r"^[^0-9\-NSEWnsew]*(-?)([0-9]{1,3}(?:\.[0-9]+)?)\s*(?:[:°ºd]\s*|\s+|$|(?=[NSEWnsew]))(?:([0-5]?[0-9](?:\.[0-9]+)?)\s*(?:[:'′m]\s*|\s+|$|(?=[NSEWnsew])))?(?:([0-5]?[0-9](?:\.[0-9]+)?)\s*[\"″s]?\s*)?([NSEWnsew]?)[^0-9NSEWnsew]*$"
+# The signs that stand behind degrees, minutes and seconds, and the directions.
+DEGREE_SIGNS, MINUTE_SIGNS, SECOND_SIGNS, DIRECTIONS = ":°ºd", ":'′m", '"″s', "NSEWnsew"
+
+_NUMBER = r"[0-9]{1,3}(?:\.[0-9]+)?"
+_SIXTIETHS = r"[0-5]?[0-9](?:\.[0-9]+)?"
+
+
+def _ends_with(signs: str) -> str:
+    """A part ends with its sign, a space, the text's end or before a direction."""
+    return rf"\s*(?:[{signs}]\s*|\s+|$|(?=[{DIRECTIONS}]))"
+
+
+# Optional sign, degrees, then optional minutes and seconds, then an optional direction, between text without digits and directions.
+_GRAMMAR = rf"^[^0-9\-{DIRECTIONS}]*(-?)({_NUMBER}){_ends_with(DEGREE_SIGNS)}(?:({_SIXTIETHS}){_ends_with(MINUTE_SIGNS)})?(?:({_SIXTIETHS})\s*[{SECOND_SIGNS}]?\s*)?([{DIRECTIONS}]?)[^0-9{DIRECTIONS}]*$"
 
 
 def degrees(text: Column) -> Column:
     """Signed decimal degrees of a coordinate text, null if it is none. Outer blanks, commas, semicolons and bars are
-    ignored, a decimal comma counts as a point, S and W (and a minus sign) make the value negative."""
+    ignored, a decimal comma counts as a point, S and W (and a minus sign) make the value negative.
+
+    What the grammar does not read is tried as one number between other text (Latitude: 40.7, 40.7 degrees, W74.001); a
+    single letter S or W before or after all makes it negative there too."""
     t = F.replace(F.regexp_replace(text, r"^[\s,;|]+|[\s,;|]+$", ""), F.lit(","), F.lit("."))
     part = lambda i: F.coalesce(F.regexp_extract(t, _GRAMMAR, i).try_cast("double"), F.lit(0.0))
     magnitude = part(2) + part(3) / 60 + part(4) / 3600
     negative = (F.regexp_extract(t, _GRAMMAR, 1) == "-") | F.lower(F.regexp_extract(t, _GRAMMAR, 5)).isin("s", "w")
-    return F.when(t.rlike(_GRAMMAR), F.when(negative, -magnitude).otherwise(magnitude))
+    number = F.regexp_extract(t, r"^[^0-9\-]*(-?[0-9]+(?:\.[0-9]+)?)[^0-9]*$", 1).try_cast("double")
+    other = F.when(t.rlike(r"(?i)^[sw](?![a-z])|(?<![a-z])[sw]$"), -F.abs(number)).otherwise(number)
+    return F.when(t.rlike(_GRAMMAR), F.when(negative, -magnitude).otherwise(magnitude)).otherwise(other)
 
 
 def valid_latitude(lat: Column) -> Column:

@@ -7,13 +7,13 @@ wholly inside the area accept their points without a test; only points in cells
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.session import ship
+from placeweave.session import materialize, ship, small_side
 
 EARTH_M = 6371008.8
 #: Cell id = band * 2^_SHIFT + column.
@@ -47,62 +47,102 @@ def _reach_deg(lat_far: Column, radius_m: float) -> Column:
     return F.when(c <= s, F.lit(180.0)).otherwise(F.degrees(2 * F.asin(F.least(F.lit(s) / c, F.lit(1.0)))) * (1 + 1e-9))
 
 
-def near_pairs(points: DataFrame, radius_m: float, key: str = "uid", lat: str = "lat", lon: str = "lon", hot_share: float = 1e-3) -> DataFrame:
+def _half_cover(radius_m: float, band_deg: float, cells_in: Callable[[Column], Column]) -> Column:
+    """The cells that cover the half of a point's disc that it has to search: ``array<struct<cell, inside, even>>`` from the
+    columns ``lat, lon, band, n, col``.
+
+    Of its own band these are its own cell and those to the right, up to half the way round; of the bands above, those
+    between the longitudes the disc reaches. A cell is ``inside`` if its farthest corner is within the radius, whatever
+    point of it is meant, and left out if its nearest is not: both by bounds of the haversine formula, with a margin, so
+    what is neither is a border cell and measured. ``even`` marks cells that see each other (the own one, and the one
+    half the way round): their pairs count from the lesser id only."""
+    limit = math.sin(min(radius_m / 2 / EARTH_M, math.pi / 2)) ** 2
+    lat, lon, band = F.col("lat"), F.col("lon"), F.col("band")
+    rad = lambda x: x * (math.pi / 180)
+
+    def judged(j: int, n: Column, col: Column, even: Column) -> Column:
+        low, high = (band + j) * band_deg - 90, (band + j + 1) * band_deg - 90
+        turn = F.abs(F.pmod(lon - (col + 0.5) * (360.0 / n) + 180, F.lit(360.0)) - 180)  # to the cell's middle
+        near_lon, far_lon = F.greatest(turn - 180.0 / n, F.lit(0.0)), F.least(turn + 180.0 / n, F.lit(180.0))
+        near_lat, far_lat = F.greatest(low - lat, lat - high, F.lit(0.0)), F.greatest(lat - low, high - lat)
+        most, least = F.least(F.abs(low), F.abs(high)), F.greatest(F.abs(low), F.abs(high))
+        wide = F.when((low <= 0) & (high >= 0), F.lit(1.0)).otherwise(F.cos(rad(F.least(most, F.lit(90.0)))))
+        narrow = F.cos(rad(F.least(least, F.lit(90.0))))
+        own = F.cos(rad(lat))
+        bound = lambda dlat, dlon, other: F.pow(F.sin(rad(dlat) / 2), 2) + own * other * F.pow(F.sin(rad(dlon) / 2), 2)
+        inside = bound(far_lat, far_lon, wide) <= limit * (1 - 1e-9)
+        outside = bound(near_lat, near_lon, narrow) > limit * (1 + 1e-9) + 1e-30
+        return F.when(~outside, F.struct((F.shiftleft(band + j, _SHIFT) + col).alias("cell"), inside.alias("inside"), even.alias("even")))
+
+    def reach(j: int) -> Column:
+        low, high = (band + (0 if j == 0 else j - 1)) * band_deg - 90, (band + j + 1) * band_deg - 90
+        return _reach_deg(F.greatest(F.abs(low), F.abs(high), F.abs(band * band_deg - 90)), radius_m)
+
+    n = F.col("n")
+    steps = F.least(F.ceil(reach(0) / 360 * n), F.floor(n / 2))
+    parts = [F.transform(F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint")), lambda k: judged(0, n, F.pmod(F.col("col") + k, n), (k == 0) | (2 * k == n)))]
+    above = math.ceil(radius_m * (1 + 1e-9) / (EARTH_M * math.radians(band_deg)))
+
+    def row(j: int) -> Column:
+        m = cells_in(band + j)
+        left = F.floor((lon - reach(j)) / 360 * m)
+        right = F.least(F.floor((lon + reach(j)) / 360 * m), left + m - 1)
+        return F.when((band + j) * band_deg < 180, F.transform(F.sequence(left.cast("bigint"), right.cast("bigint")), lambda c: judged(j, m, F.pmod(c, m), F.lit(False))))
+
+    parts += [row(j) for j in range(1, above + 1)]
+    return F.array_compact(F.flatten(F.array_compact(F.array(*parts))))
+
+
+def near_pairs(points: DataFrame, radius_m: float, key: str = "uid", lat: str = "lat", lon: str = "lon", hot_share: float = 1e-3, hot_points: int = 20_000) -> DataFrame:
     """Pairs ``<key>_a < <key>_b`` of points at most ``radius_m`` apart.
 
     Rows with a null key or an unusable location (null, NaN, infinite, lat beyond ±90, 0/0) have no partner; of several
     usable rows of one key the greatest (lat, lon) counts. Longitude counts modulo 360, so the antimeridian and the poles are no borders. Points at equal
     places are pairs like any others; an empty table gives no pairs; other columns are ignored, whatever their names.
 
-    The sphere is cut into bands of the radius' height, each band into cells at least as wide as the radius reaches
-    there. A point looks into its own cell, the next cell of its band and the cells of the band above that its disc may
-    touch: each pair is met once. Within these, a finer cell whose diagonal is under the radius is interior to the disc
-    of every point in it: equal fine cells accept at once, all others are measured exactly.
+    The sphere is cut into bands of seven tenths of the radius, each band into cells whose diagonal is under the radius
+    anywhere. A point's disc is covered by cells, as many as its latitude and its place in its own cell ask for, and only
+    the half of it that has not looked at the point itself (:func:`_half_cover`): each pair is met once. Two equi-joins
+    follow: the points of interior cells are accepted at once; those of border cells alone are measured.
 
-    Cells with at least ``hot_share`` of all points (at most 1/hot_share of them, hence safe to broadcast) are split: their
-    points are dealt over salts, and whoever looks into such a cell looks into each salt."""
-    band_deg = math.degrees(radius_m / EARTH_M) * (1 + 1e-9)
-    fine = math.sqrt(0.5) * (1 - 1e-6)
+    Cells of ``hot_share`` of all points (1,000 at least) or of ``hot_points`` are split: their points are dealt over salts, and whoever looks into
+    such a cell looks into each salt."""
+    band_deg = math.degrees(radius_m / EARTH_M) * 0.7
     p = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon0"))
     p = p.filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon0")))
     p = p.groupBy("id").agg(F.max(F.struct("lat", "lon0")).alias("at")).select("id", "at.lat", "at.lon0")
-    p = p.select("id", "lat", wrap_360(F.col("lon0")).alias("lon"), F.floor((F.col("lat") + 90) / band_deg).alias("band"))
-
-    def reach(band: Column) -> Column:
-        low, high = (band - 1) * band_deg - 90, (band + 2) * band_deg - 90
-        return _reach_deg(F.greatest(F.abs(low), F.abs(high)), radius_m)
 
-    def cells_of(reach_deg: Column) -> Column:
-        return F.greatest(F.floor(F.lit(360.0) / reach_deg), F.lit(1))
+    def cells_in(band: Column) -> Column:
+        low, high = band * band_deg - 90, (band + 1) * band_deg - 90
+        widest = F.when((low <= 0) & (high >= 0), F.lit(1.0)).otherwise(F.cos(F.radians(F.least(F.abs(low), F.abs(high), F.lit(90.0)))))
+        return F.greatest(F.ceil(F.lit(360.0 / band_deg) * widest), F.lit(1)).cast("bigint")
 
-    p = p.withColumns({"reach": reach(F.col("band")), "reach_up": reach(F.col("band") + 1)})
-    p = p.withColumns({"n": cells_of(F.col("reach")), "n_up": cells_of(F.col("reach_up"))})
+    # Whatever the last band holds beyond the pole is no point's.
+    p = p.select("id", "lat", wrap_360(F.col("lon0")).alias("lon"), F.floor((F.col("lat") + 90) / band_deg).alias("band"))
+    p = p.withColumn("n", cells_in(F.col("band")))
     p = p.withColumn("col", F.least(F.floor(F.col("lon") / 360 * F.col("n")), F.col("n") - 1))
-    cell = lambda band, col: F.shiftleft(band, _SHIFT) + col
-    fine_row = F.floor((F.col("lat") + 90) / (band_deg * fine))
-    # Width of a fine cell from the row's widest side: its diagonal stays under the radius anywhere in the row.
-    row_low, row_high = fine_row * (band_deg * fine) - 90, (fine_row + 1) * (band_deg * fine) - 90
-    widest = F.when((row_low <= 0) & (row_high >= 0), F.lit(1.0)).otherwise(F.cos(F.radians(F.least(F.abs(row_low), F.abs(row_high)))))
-    fine_col = F.floor(F.col("lon") * widest / (band_deg * fine))
-    p = p.select("id", "lat", "lon", "band", "col", "n", "n_up", "reach", "reach_up", (F.shiftleft(fine_row, 32) + fine_col).alias("fine"))
-
-    far = F.greatest("reach", "reach_up")
-    up = F.array_distinct(F.transform(F.sequence(F.floor((F.col("lon") - far) / 360 * F.col("n_up")), F.least(F.floor((F.col("lon") + far) / 360 * F.col("n_up")), F.floor((F.col("lon") - far) / 360 * F.col("n_up")) + F.col("n_up"))), lambda c: cell(F.col("band") + 1, F.pmod(c, F.col("n_up")))))
-    along = F.when((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("col") == 0)), F.array(cell(F.col("band"), (F.col("col") + 1) % F.col("n")))).otherwise(F.array().cast("array<bigint>"))
-    home = p.select("id", "lat", "lon", "fine", cell(F.col("band"), F.col("col")).alias("cell"))
-    looks = p.select("id", "lat", "lon", "fine", F.explode(F.concat(F.array(cell(F.col("band"), F.col("col"))), along, up)).alias("cell"), (cell(F.col("band"), F.col("col"))).alias("own"))
-
-    sizes = home.groupBy("cell").count()
-    total = home.agg(F.count("*")).scalar()
-    hot = sizes.filter(F.col("count") >= F.greatest(total * hot_share, F.lit(1000))).select("cell", F.ceil(F.col("count") / F.greatest(total * hot_share, F.lit(1000))).alias("salts"))
-    home = home.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)))
-    looks = looks.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("bigint"))))
-
-    a, b = looks.alias("a"), home.alias("b")
-    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.salt") == F.col("b.salt")) & ((F.col("a.own") != F.col("b.cell")) | (F.col("a.id") < F.col("b.id"))))
-    inside = F.col("a.fine") == F.col("b.fine")
-    near = met.filter(inside | (haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= radius_m))
-    return near.select(F.least("a.id", "b.id").alias(f"{key}_a"), F.greatest("a.id", "b.id").alias(f"{key}_b"))
+    p = materialize(p, "points")
+    own = (F.shiftleft("band", _SHIFT) + F.col("col")).alias("cell")
+    home = p.select("id", "lat", "lon", own)
+    looks = p.select("id", "lat", "lon", F.explode(_half_cover(radius_m, band_deg, cells_in)).alias("x")).select("id", "lat", "lon", "x.cell", "x.inside", "x.even")
+
+    sizes = p.groupBy(own).agg(F.count("*").alias("k"))
+    most = F.least(F.greatest(p.agg(F.count("*")).scalar() * hot_share, F.lit(1000)), F.lit(hot_points))
+    hot = small_side(sizes.filter(F.col("k") >= most).select("cell", F.ceil(F.col("k") / most).alias("salts")), "hot-cells")
+    at = ["cell"]
+    if not hot.isEmpty():
+        at = ["cell", "salt"]
+        home = home.join(hot, "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0))).drop("salts")
+        looks = looks.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("bigint")))).drop("salts")
+
+    def met(a: DataFrame, *columns: str) -> DataFrame:
+        b = home.select(F.col("id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in columns], *at)
+        return a.select("id", "even", *columns, *at).join(b, at).filter(~F.col("even") | (F.col("id") < F.col("other")))
+
+    accepted = met(looks.filter("inside"))
+    tested = met(looks.filter("NOT inside"), "lat", "lon").filter(haversine_m(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon")) <= radius_m)
+    both = accepted.select("id", "other").unionByName(tested.select("id", "other"))
+    return both.select(F.least("id", "other").alias(f"{key}_a"), F.greatest("id", "other").alias(f"{key}_b"))
 
 
 def _crosses(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> bool:
@@ -172,14 +212,22 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "uid", l
 
     ship(points.sparkSession)
     cells = regions.select(F.col(region).alias("region"), F.col(ring).alias("ring")).mapInPandas(cover, f"region {regions.schema[region].dataType.simpleString()}, level int, i bigint, j bigint, inside boolean, flat array<double>")
+    cells = materialize(cells, "region-cells")
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # at most max_level + 1
+    if not levels:
+        return points.select(F.col(key), F.lit(None).cast(regions.schema[region].dataType).alias("region")).limit(0)
     p = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon0")).filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon0")))
     turned = wrap_360(F.col("lon0") + 180) - 180
-    p = p.select("id", "lat", turned.alias("lon"), F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("level"))
+    # A point appears at the levels that some cover uses, not at all of them.
+    p = p.select("id", "lat", turned.alias("lon"), F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
     side = F.pow(F.lit(2.0), F.col("level"))
     at = lambda c, low, width: F.least(F.floor((c - low) / width * side), side.cast("bigint") - 1)
     p = p.select("id", "lat", "lon", "level", at(F.col("lon"), -180, 360).alias("i"), at(F.col("lat"), -90, 180).alias("j"))
-    levels = cells.select("level").distinct()  # at most max_level + 1 rows
-    met = p.join(F.broadcast(levels), "level", "left_semi").join(cells, ["level", "i", "j"])
+    # Interior cells accept by the join alone, and carry no ring; adaptive execution splits the points of a hot cell.
+    inner = small_side(cells.filter("inside").select("level", "i", "j", "region"), "region-interiors")
+    accepted = p.join(inner, ["level", "i", "j"]).select("id", "region")
+    border = cells.filter("NOT inside").select("level", "i", "j", "region", "flat")
+    met = p.join(border, ["level", "i", "j"])
     n = (F.size("flat") / 2).cast("int")
     v = lambda k: F.element_at("flat", k)
     odd = F.aggregate(
@@ -188,4 +236,5 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "uid", l
         lambda acc, k: acc
         != (((v(2 * k + 2) > F.col("lat")) != (v(2 * k + 4) > F.col("lat"))) & (F.col("lon") < v(2 * k + 1) + (F.col("lat") - v(2 * k + 2)) / F.coalesce(F.nullif(v(2 * k + 4) - v(2 * k + 2), F.lit(0.0)), F.lit(1.0)) * (v(2 * k + 3) - v(2 * k + 1)))),
     )
-    return met.filter(F.col("inside") | odd).select(F.col("id").alias(key), F.col("region")).distinct()
+    # Covers do not overlap, so a point meets a region once; repeated rows of a point or of a region are made one.
+    return accepted.unionByName(met.filter(odd).select("id", "region")).select(F.col("id").alias(key), F.col("region")).distinct()
