@@ -1,9 +1,11 @@
 """Byte-level BPE of a public tokenizer as a streaming transducer, and its use over a whole corpus.
 
-The text is cut by the tokenizer's pattern into pieces; merges never cross a piece. Short pieces repeat and are remembered.
-A long piece is consumed from left to right: only a window of it is merged at a time, and a token leaves the window once no
-text to its right can change it. How far to the right that can depend is a property of the merge list alone
-(:meth:`Bpe.lookahead`), so the memory stays constant however long the piece is.
+A text is read in chunks. The tokenizer's pattern cuts it into pieces, which merges never cross; a piece is final once the
+text behind it can no longer change it, and one that outgrows a chunk is passed on in parts. Every piece goes through the
+same transducer (:class:`PieceStream`): only a window of it is merged at a time, and a token leaves the window once no text
+to its right can change it. How far to the right that can depend is a property of the merge list alone
+(:meth:`Bpe.lookahead`), so the memory stays constant however long the text or the piece is. Pieces repeat: what came out
+for one is remembered, within a bound of bytes.
 """
 
 from __future__ import annotations
@@ -26,23 +28,26 @@ from placeweave.session import ship
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered by a worker, and the bytes above which a piece is streamed instead of remembered.
-REMEMBERED, SHORT = 400_000, 256
+#: Bytes of pieces remembered by a worker, characters of a text read at a time, and how many characters behind a piece the pattern
+#: looks at most (two, for the longest contraction) and one more.
+REMEMBERED, CHUNK, BEHIND = 64 << 20, 32_768, 3
 
 
 class Bpe:
     """The tokenizer of a rank file. Tokens are ids; ``pieces[id]`` are their bytes."""
 
-    def __init__(self, rank_file: bytes, pattern: str = PATTERN):
+    def __init__(self, rank_file: bytes, pattern: str = PATTERN, lookahead: int | None = None):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.pieces = {i: p for p, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.iterate = regex.compile(pattern).finditer
+        # What goes on when a piece outgrows a chunk: the class of its last character.
+        self.runs = [regex.compile(c).match for c in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")]
         self._known: dict[str, tuple[int, ...]] = {}
+        self._room = REMEMBERED
         self._pairs: OrderedDict[tuple[int, int], bool] = OrderedDict()
-        self._lookahead: int | None = None
+        self._lookahead = lookahead
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece: while any neighbours form a token, the leftmost of lowest rank is merged. The candidates
@@ -113,63 +118,70 @@ class Bpe:
         return known
 
     def stream(self, chunks: Iterable[bytes], window: int | None = None) -> Iterator[int]:
-        """The ids of one piece that arrives in chunks, each emitted as soon as it is stable. A sequence of tokens is the
-        encoding exactly if all its neighbours may stand side by side, so each seam between two windows is tested; should
-        one fail, the window grows until it holds, which keeps the result exact even if the lookahead were too short."""
-        ahead = self.lookahead()
-        size = max(window or 0, 4 * ahead)
-        rest, last, need = b"", None, size
-        for chunk in chain(chunks, (None,)):
-            if chunk is not None:
-                rest += chunk
-            while rest and (chunk is None or len(rest) >= need):
-                whole = chunk is None and len(rest) <= need
-                seen = rest if whole else rest[:need]
-                ids = self.merge(seen)
-                if last is not None and not self._neighbours(last, ids[0]):
-                    raise ValueError("a token was emitted before it was stable")
-                if not whole:
-                    # Hold back what lies within the lookahead, and test the seam against a later start.
-                    cut, at = 0, 0
-                    for k, t in enumerate(ids):
-                        at += len(self.pieces[t])
-                        if at > len(seen) - ahead:
-                            break
-                        cut = k + 1
-                    kept = sum(len(self.pieces[t]) for t in ids[:cut])
-                    if not cut or not self._neighbours(ids[cut - 1], self.merge(rest[kept : kept + need])[0]):
-                        need *= 2
-                        continue
-                    ids = ids[:cut]
-                yield from ids
-                last, rest, need = ids[-1], rest[sum(len(self.pieces[t]) for t in ids) :], size
+        """The ids of one piece that arrives in chunks, each emitted as soon as it is stable."""
+        piece = PieceStream(self, window)
+        for chunk in chunks:
+            yield from piece.push(chunk)
+        yield from piece.finish()
 
     def _piece(self, text: str) -> tuple[int, ...]:
         raw = text.encode("utf-8", "surrogatepass")
-        if len(raw) <= SHORT:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            ids = self._known[text] = tuple(self.merge(raw))
-            return ids
-        return tuple(self.stream(raw[i : i + 65536] for i in range(0, len(raw), 65536)))
-
-    def encode_into(self, text: str, out: array) -> None:
-        """Append the ids of a text, without special tokens: their strings are text like any other."""
-        known = self._known
-        pieces = self.split(text)
+        piece = PieceStream(self)
+        ids = (*piece.push(raw), *piece.finish())
+        self._room -= len(raw) + 64
+        if self._room < 0:
+            self._known.clear()
+            self._room = REMEMBERED
+        self._known[text] = ids
+        return ids
+
+    def _emit(self, pieces: list[str], out: array) -> None:
+        known, mark = self._known, len(out)
         try:
             out.extend(chain.from_iterable(map(known.__getitem__, pieces)))
         except KeyError:
             # A failed extend keeps what it consumed: take it back and meet the unknown pieces one by one.
-            del out[self._mark :]
+            del out[mark:]
             for p in pieces:
                 out.extend(known.get(p) or self._piece(p))
 
-    _mark = 0
+    def encode_into(self, text: str, out: array) -> None:
+        """Append the ids of a text, without special tokens: their strings are text like any other."""
+        rest, run = "", None
+        for i in range(0, len(text), CHUNK):
+            rest, run = self._advance(rest + text[i : i + CHUNK], i + CHUNK >= len(text), run, out)
+
+    def _advance(self, text: str, last: bool, run: tuple[int, PieceStream] | None, out: array) -> tuple[str, tuple[int, PieceStream] | None]:
+        """Append the ids that are settled by ``text``, what is held of the chunks so far; ``last`` if no more follows. Returns
+        what to hold, and the class and the stream of a piece that outgrew its chunk and is still open."""
+        if run:
+            kind, piece = run
+            end = self.runs[kind](text).end()
+            open_ = end == len(text) and not last
+            # The last white space before a word belongs to the word.
+            if kind == 2 and (open_ or end < len(text)):
+                end -= 1
+            out.extend(piece.push(text[:end].encode("utf-8", "surrogatepass")))
+            if open_:
+                return text[end:], run
+            out.extend(piece.finish())
+            text = text[end:]
+        pieces, held = self.split(text), 0
+        while not last and pieces and held < BEHIND:
+            held += len(pieces[-1])
+            if held >= CHUNK // 2 and held == len(pieces[-1]):
+                self._emit(pieces[:-1], out)
+                kind = next(k for k, c in enumerate(self.runs) if c(pieces[-1][-1]).end())
+                end = len(text) - (kind == 2)
+                piece = PieceStream(self)
+                out.extend(piece.push(text[len(text) - held : end].encode("utf-8", "surrogatepass")))
+                return text[end:], (kind, piece)
+            pieces.pop()
+        self._emit(pieces, out)
+        return text[len(text) - held :], None
 
     def encode(self, text: str) -> list[int]:
         out = array("i")
-        self._mark = 0
         self.encode_into(text, out)
         return out.tolist()
 
@@ -178,7 +190,6 @@ class Bpe:
         offsets, out = array("i", [0]), array("i")
         for t in texts:
             if t:
-                self._mark = len(out)
                 self.encode_into(t, out)
             offsets.append(len(out))
         return offsets, out
@@ -197,22 +208,72 @@ class Bpe:
         return "".join(self.decode_stream(ids, 1024))
 
 
+class PieceStream:
+    """One piece on its way through the transducer: bytes are pushed, stable ids come out, :meth:`finish` gives the rest.
+
+    It holds a window of at most ``size + ahead`` bytes beside the bytes just pushed. What lies within the lookahead of the
+    window's end is held back, so what is emitted is what merging the whole piece would give there. Each seam is
+    tested all the same (two tokens may be neighbours if merging their bytes gives them again); should a lookahead be too
+    short for a merge list, the window grows by steps up to 16 lookaheads, and beyond that the piece is refused."""
+
+    def __init__(self, bpe: Bpe, window: int | None = None):
+        self.bpe, self.ahead = bpe, bpe.lookahead()
+        self.size = max(window or 0, 4 * self.ahead)
+        self.rest, self.last = b"", None
+
+    def push(self, data: bytes) -> list[int]:
+        out: list[int] = []
+        self.rest += data
+        while len(self.rest) > self.size:
+            out += self._stable()
+        return out
+
+    def _joined(self, ids: list[int]) -> list[int]:
+        if self.last is not None and ids and not self.bpe._neighbours(self.last, ids[0]):
+            raise ValueError("a token was emitted before it was stable")
+        return ids
+
+    def _stable(self) -> list[int]:
+        bpe, need = self.bpe, self.size
+        while True:
+            seen = self.rest[:need]
+            ids = self._joined(bpe.merge(seen))
+            cut = kept = 0
+            for t in ids:
+                if kept + len(bpe.pieces[t]) > len(seen) - self.ahead:
+                    break
+                kept, cut = kept + len(bpe.pieces[t]), cut + 1
+            if cut and bpe._neighbours(ids[cut - 1], bpe.merge(self.rest[kept : kept + self.size])[0]):
+                break
+            if need >= min(len(self.rest), 16 * self.ahead + self.size):
+                raise ValueError("the window does not settle")
+            need += self.ahead
+        self.rest, self.last = self.rest[kept:], ids[cut - 1]
+        return ids[:cut]
+
+    def finish(self) -> list[int]:
+        ids = self._joined(self.bpe.merge(self.rest))
+        self.rest = b""
+        return ids
+
+
 _BUILT: dict[str, Bpe] = {}
 
 
-def tokenizer(rank_file: bytes) -> Bpe:
-    """The tokenizer of a rank file, built once in each Python worker."""
+def tokenizer(rank_file: bytes, lookahead: int | None = None) -> Bpe:
+    """The tokenizer of a rank file, built once in each Python process."""
     digest = hashlib.sha1(rank_file).hexdigest()
     if digest not in _BUILT:
-        _BUILT[digest] = Bpe(rank_file)
+        _BUILT[digest] = Bpe(rank_file, lookahead=lookahead)
     return _BUILT[digest]
 
 
 def _shipped(spark: SparkSession, path: str):
-    """The rank file, read by the driver and broadcast (0.8 MB, whatever the corpus' size)."""
+    """The rank file and its lookahead, read and worked out by the driver and broadcast (0.8 MB, whatever the corpus' size)."""
     ship(spark)
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        file = f.read()
+    return spark.sparkContext.broadcast((file, tokenizer(file).lookahead()))
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, ids: str = "ids") -> DataFrame:
@@ -223,7 +284,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     file = _shipped(documents.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(file.value)
+        bpe = tokenizer(*file.value)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 offsets, out = bpe.encode_batch(part.column(1).to_pylist())
@@ -239,7 +300,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     file = _shipped(documents.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(file.value)
+        bpe = tokenizer(*file.value)
         for b in batches:
             counts = []
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
@@ -256,7 +317,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str
     file = _shipped(encoded.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(file.value)
+        bpe = tokenizer(*file.value)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 texts = [None if x is None else bpe.decode(x) for x in part.column(1).to_pylist()]
