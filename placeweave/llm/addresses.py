@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.ngrams import corrections, cosine, one_edit_apart, vectors, weighted
+from placeweave.llm.ngrams import settled, similar
 from placeweave.session import materialize, ship, small_side
 
 # Kinds of streets and how they are written.
@@ -171,25 +171,33 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, house string, name string, kind string, direction string, city string, postcode string")
 
 
-def settled_cities(rows: DataFrame) -> DataFrame:
+#: The least cosine of two spellings of one street or town.
+ALIKE = 0.6
+
+
+def settled_cities(rows: DataFrame, threshold: float = ALIKE) -> DataFrame:
     """``rows`` (with ``city`` as of :func:`read_city` and ``postcode``) with the column ``town``: the city in its
     established spelling; where no city is given, the city most rows of the postcode name; where that is unknown too, the
     postcode itself. Null if neither is given.
 
+    A spelling stands for a more frequent one that is like it (:func:`similar`), unless the postcodes tell them apart: a town
+    of its own has postcodes of its own, so it is kept if most of its rows with a postcode are where the other is not the
+    more frequent of the two.
+
     The vocabularies have a row per spelling and per postcode; they are counted with partial sums and joined back by
     broadcast while they are small, otherwise on the spelling, where adaptive execution splits a hot city."""
-    seen = rows.filter(F.col("city") != "").groupBy("city").agg(F.count("*").alias("n"))
-    better = materialize(corrections(seen, "city", "n"), "city-corrections")
-    # A town of its own has postcodes of its own: a spelling is kept if most of its rows with a postcode are where the other
-    # town is never named.
-    codes = rows.filter((F.col("city") != "") & (F.col("postcode") != "")).groupBy("city", "postcode").agg(F.count("*").alias("n"))
-    own = codes.join(F.broadcast(better) if better.count() <= 200_000 else better, F.col("city") == F.col("text")).select("text", "to", "postcode", "n")
-    own = own.join(codes.select(F.col("city").alias("to"), "postcode", F.lit(1).alias("here")), ["to", "postcode"], "left")
-    towns = own.groupBy("text").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.coalesce("here", F.lit(0))).alias("shared")).filter("2 * shared < n")
-    better = small_side(better.join(towns, "text", "left_anti"), "city-slips")
-    named = rows.join(better.select(F.col("text").alias("city"), F.col("to").alias("city_to")), "city", "left")
+    codes = materialize(rows.filter(F.col("city") != "").groupBy("city", "postcode").agg(F.count("*").alias("n")), "city-postcodes")
+    seen = codes.groupBy(F.lit(0).alias("block"), F.col("city").alias("text")).agg(F.sum("n").alias("n"))
+    links = materialize(similar(seen, threshold), "city-links")
+    coded = codes.filter(F.col("postcode") != "")
+    own = coded.join(links.select(F.col("text").alias("city"), "to"), "city")
+    there = coded.select(F.col("city").alias("to"), "postcode", F.col("n").alias("there"))
+    own = own.join(there, ["to", "postcode"], "left").groupBy("city", "to").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("there") > F.col("n"), F.col("n")).otherwise(0)).alias("shared"))
+    apart = own.filter("2 * shared < n").select(F.col("city").alias("text"), "to")
+    better = small_side(settled(links.join(apart, ["text", "to"], "left_anti")).select(F.col("text").alias("city"), F.col("to").alias("city_to")), "city-slips")
+    named = rows.join(better, "city", "left")
     named = named.withColumn("town", F.coalesce("city_to", F.nullif("city", F.lit("")))).drop("city_to")
-    zone = named.filter(F.col("town").isNotNull() & (F.col("postcode") != "")).groupBy("postcode", "town").agg(F.count("*").alias("n"))
+    zone = codes.filter(F.col("postcode") != "").join(better, "city", "left").groupBy("postcode", F.coalesce("city_to", "city").alias("town")).agg(F.sum("n").alias("n"))
     zone = zone.groupBy("postcode").agg(F.max(F.struct("n", "town")).alias("most")).select("postcode", F.col("most.town").alias("zone_town"))
     out = named.join(small_side(zone, "postcode-towns"), "postcode", "left")
     return out.withColumn("town", F.coalesce("town", "zone_town", F.concat(F.lit("#"), F.nullif("postcode", F.lit(""))))).drop("zone_town")
@@ -205,34 +213,17 @@ def located(records: DataFrame, key: str, street: Column, number: Column, city:
     return resolved_streets(materialize(placed, "addresses-settled"))
 
 
-def resolved_streets(rows: DataFrame, threshold: float = 0.3, twin: int = 8, often: int = 50) -> DataFrame:
-    """``rows`` (with ``town, house, direction, kind, street``) with ``street`` replaced by the spelling it stands for at its town,
-    house number and direction.
-
-    All different spellings found there, however many rows bear them, are compared through an index of the prefixes of their
-    weighted n-grams, with the cosine and the number of edits tested; kinds must not contradict each other. Each spelling
-    stands for the one most frequent in the town of those it is close to. Two spellings are two streets if the rarer has
-    ``twin`` rows in the town and the other less than ``often`` times as many: slips of the pen are not as frequent."""
-    at = ["town", "house", "direction"]
-    spots = rows.filter((F.col("house") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy(*at, "street", "kind").agg(F.count("*").alias("k"))
-    spots = materialize(spots, "address-spots")
-    v = vectors(weighted(spots.select("street").distinct(), "street"), threshold).withColumnRenamed("text", "street")
-    borne = spots.groupBy("town", "street").agg(F.sum("k").alias("n"))
-    several = spots.groupBy(*at).agg(F.count_distinct("street").alias("several")).filter("several > 1").drop("several")
-    odd = materialize(spots.join(several, at, "left_semi").drop("k").join(borne, ["town", "street"]).join(v, "street"), "addresses-compared")
-    a, b = (odd.select(*[F.col(c).alias(f"{s}_{c}") for c in ("street", "kind", "n", "grams", "squares", "norm")], *at, F.explode("prefix").alias("gram")) for s in "ab")
-    kinds = (F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")
-    # From the rarer to the more frequent; the order of the letters decides between equals.
-    up = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_street") > F.col("b_street")))
-    slips = (F.col("a_n") < twin) | (F.col("b_n") >= often * F.col("a_n"))
-    met = a.join(b, [*at, "gram"]).filter((F.col("a_street") != F.col("b_street")) & up & slips & kinds)
-    met = met.filter(one_edit_apart(F.col("a_street"), F.col("b_street"), F.when(F.length("a_street") < 8, 1).otherwise(3)) & (cosine("a", "b") >= threshold))
-    best = met.groupBy(*at, F.col("a_street").alias("street"), F.col("a_kind").alias("kind")).agg(F.max(F.struct(F.col("b_n").alias("n"), F.col("b_street").alias("street"), F.col("b_kind").alias("kind"))).alias("to"))
-    best = materialize(best.select(*at, "street", "kind", F.col("to.street").alias("to_street"), F.col("to.kind").alias("to_kind")), "addresses-resolved")
-    # What a spelling stands for may be taken for a third.
-    above = best.select(*at, F.col("street").alias("to_street"), F.col("kind").alias("to_kind"), F.col("to_street").alias("above"))
-    best = best.join(above, [*at, "to_street", "to_kind"], "left").select(*at, "street", "kind", F.coalesce("above", "to_street").alias("resolved"))
-    return rows.join(small_side(best, "street-slips"), [*at, "street", "kind"], "left").withColumn("street", F.coalesce("resolved", "street")).drop("resolved")
+def resolved_streets(rows: DataFrame, threshold: float = ALIKE) -> DataFrame:
+    """``rows`` (with ``town, house, street``) with ``street`` replaced by the spelling it stands for in its town.
+
+    All different spellings of a town, however many rows bear them, are compared through an index of the prefixes of their
+    weighted grams, with the cosine and the number of edits tested (:func:`similar`); each stands for the most frequent it is
+    like, step by step. Numbered streets (4th) are nobody's slip. A street's spellings are far fewer than its rows, so
+    the comparison costs little beside the reading; house numbers are compared when the addresses are joined."""
+    spelt = rows.filter((F.col("house") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy(F.col("town").alias("block"), F.col("street").alias("text")).agg(F.count("*").alias("n"))
+    best = settled(similar(materialize(spelt, "street-spellings"), threshold))
+    slips = small_side(best.select(F.col("block").alias("town"), F.col("text").alias("street"), F.col("to").alias("resolved")), "street-slips")
+    return rows.join(slips, ["town", "street"], "left").withColumn("street", F.coalesce("resolved", "street")).drop("resolved")
 
 
 def same_address_pairs(places: DataFrame, key: str) -> DataFrame:

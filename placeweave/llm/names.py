@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, resolved_streets, settled_cities
 from placeweave.llm.fusion import NAME_FILLERS
 from placeweave.llm.linkage import average_linkage
+from placeweave.llm.ngrams import spread
 from placeweave.session import materialize, ship, small_side
 
 # Short forms of first names, after the name they stand for.
@@ -53,7 +55,9 @@ _AFTER = re.compile(r"\([^)]*\)|\s[-–—]\s.*$|(?:,\s*)?\b(?:store|no|nr|branc
 #: Without one of these, nothing stands behind a name.
 _SIGNS = re.compile(r"[(#\d–—-]")
 _DOTTED = re.compile(r"\b(?:[a-z]\.){2,}")
-BUCKETS = 1 << 16
+#: Letters are told apart by these many classes: the bar, a to z, the digits; all others share the rest.
+CLASSES = 64
+_CLASS = {"|": 0} | {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 
 
 @lru_cache(200_000)
@@ -126,35 +130,127 @@ def read_name(name: str | None) -> tuple[str, str, str, str] | None:
 
 
 def brand_grams(brand: str) -> set[int]:
-    """The buckets of the character bigrams and trigrams of a brand's words, each word between bars."""
-    out = set()
+    """The pairs of letters that stand side by side or one apart in a brand's words, each word between bars, as numbers under
+    the square of ``CLASSES``."""
+    out: set[int] = set()
     for w in brand.split(" "):
-        p = b"|" + w.encode() + b"|"
-        out.update([x * 257 + y & 0xFFFF for x, y in zip(p, p[1:])])
-        out.update([(x * 8191 + y * 257 + z * 31) & 0xFFFF for x, y, z in zip(p, p[1:], p[2:])])
+        p = [_CLASS.get(c, 37 + ord(c) % (CLASSES - 37)) for c in f"|{w}|"]
+        out.update(x * CLASSES + y for x, y in zip(p, p[1:]))
+        out.update(x * CLASSES + y for x, y in zip(p, p[2:]))
     return out
 
 
-def _forms(word: str, cut: int) -> set[str]:
-    """What is left of the first eight letters (short words being filled up) with ``cut`` of them left out. Words at most
-    ``cut`` edits apart, two neighbours changing places being one, share a form."""
-    head = word[:8].ljust(8, "$")
-    return {f"{cut}{''.join(x)}" for x in combinations(head, 8 - cut)}
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits stirred so that each depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _left_out(letters: np.ndarray, cut: int) -> list[np.ndarray]:
+    """What is left of each row of letters (a byte each, eight at most) with ``cut`` of them left out, for each choice, as numbers:
+    grams with gaps."""
+    size = letters.shape[1]
+    out = []
+    for gone in combinations(range(size), cut):
+        code = np.full(len(letters), cut, np.uint64)
+        for i in range(size):
+            if i not in gone:
+                code = code << np.uint64(8) | letters[:, i]
+        out.append(code)
+    return out
 
-def index_entries(brand: str, weight: Callable[[str], float] = len) -> tuple[set[str], set[str]]:
-    """The entries of a brand in the inverted index as the one with fewer words of two, and as the one with more: any two
-    brands on which :func:`words_agree` share one of the former with one of the latter.
 
-    Every word of the one must be found in the other, so the heaviest will do, where the other has all. Beside them stand
-    the entries of the letters without spaces."""
-    letters, words = brand.replace(" ", ""), brand.split(" ")
+def _ends(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first eight and the last eight letters of each word, a byte each (other letters than Latin ones share bytes), and its length."""
+    raw = [w.encode("ascii") if w.isascii() else bytes(ord(c) % 251 + 1 for c in w) for w in words]
+    first = np.frombuffer(b"".join(w[:8].ljust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
+    last = np.frombuffer(b"".join(w[-8:].rjust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
+    return first.astype(np.uint64), last.astype(np.uint64), np.array([len(w) for w in raw])
+
+
+def _forms(words: list[str], size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``rows, numbers``: the gapped grams of words: as :func:`words_agree` asks, words of under eight letters bear one edit,
+    others two. Words that so many edits part, two neighbours changing places being one, share one: of the first letters with
+    one left out, or of the first and last letters, ``size`` together, with two left out. An edit changes one of the two ends,
+    unless it swaps letters across the middle of an eight-letter word, which therefore has the grams of the swapped word too."""
+    if not words:
+        return
+    first, last, n = _ends(words)
+    tiny = np.nonzero(n < 4)[0]
+    yield tiny, _left_out(first[tiny], 0)[0]
+    for k in range(3, 9):
+        if k <= 6:
+            at = np.nonzero((n >= 4) & (n <= 8) & (np.minimum(size, 6) == k))[0]
+            for code in _left_out(first[at][:, :k], 1):
+                yield at, code
+        at = np.nonzero((n >= 8) & (np.minimum(size, 8) == k))[0]
+        ends = np.hstack([first[at][:, : (k + 1) // 2], last[at][:, 8 - k // 2 :]])
+        for code in _left_out(ends, 2):
+            yield at, code
+        if k == 8:
+            swapped = n[at] == 8
+            for code in _left_out(ends[swapped][:, [0, 1, 2, 4, 3, 5, 6, 7]], 2):
+                yield at[swapped], code
+
+
+def _pair_forms(pairs: list[tuple[str, str]], size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The gapped grams of two words together: of the first letters of each, ``size`` together, two of them left out."""
+    if not pairs:
+        return
+    (a, _, _), (b, _, _) = _ends([p[0] for p in pairs]), _ends([p[1] for p in pairs])
+    half = np.minimum((size + 1) // 2, 4)
+    for k in range(2, 5):
+        at = np.nonzero(half == k)[0]
+        for code in _left_out(np.hstack([a[at][:, :k], b[at][:, :k]]), 2):
+            yield at, code
+
+
+def index_entries(brands: list[str], size: np.ndarray, found: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, entries``: the entries that brands look for in the inverted index and under which they stand there; with ``found``
+    those under which they only stand. Any two brands on which :func:`words_agree` share one that one of them looks for.
+
+    A brand of one word looks for its gapped grams; one of several stands under those of each of its words too,
+    since one of them may be all that the other brand has. A brand of several words looks for the gapped grams of its two longest
+    together, and stands under those of any two of its words. The letters without spaces are an entry too. ``size``
+    letters make a gram, less those left out."""
+    split = [b.split(" ") for b in brands]
+    words, pairs, glued = [], [], []
+    for i, ws in enumerate(split):
+        if len(ws) == 1:
+            if not found:
+                words.append((i, ws[0]))
+        elif found:
+            words += [(i, w) for w in set(ws)]
+            pairs += [(i, p) for p in permutations(ws, 2)]
+        else:
+            pairs.append((i, tuple(sorted(ws, key=lambda w: (-len(w), w))[:2])))
+        if not found:
+            glued.append((i, "".join(ws)))
+    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for tag, items, forms in ((1, words, _forms), (2, pairs, _pair_forms)):
+        of = np.array([i for i, _ in items], np.int64)
+        for at, code in forms([x for _, x in items], size[of]):
+            rows.append(of[at])
+            codes.append(_mixed(code + np.uint64(tag << 60)))
+    rows.append(np.array([i for i, _ in glued], np.int64))
+    codes.append(np.array([crc32(w.encode()) for _, w in glued], np.uint64) + np.uint64(3 << 60))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _indexed(brands: DataFrame, found: bool) -> DataFrame:
+    """``entry, at, asks``: the entries of ``block, brand, at, asks, size`` by block."""
 
-    def of(w: str) -> set[str]:
-        return {f"0{w}"} if len(w) < 4 else (_forms(w, 1) if len(w) <= 8 else set()) | (_forms(w, 2) if len(w) >= 8 else set())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, codes = index_entries(b.column("brand").to_pylist(), b.column("size").to_numpy(), found)
+            block = b.column("block").to_numpy().view(np.uint64)
+            entry = _mixed(codes ^ _mixed(block)[rows]).view(np.int64)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(entry), b.column("at").take(at), b.column("asks").take(at)], ["entry", "at", "asks"])
 
-    whole = (_forms(letters, 1) if len(letters) <= 8 else set()) | (_forms(letters, 2) if len(brand) >= 8 else set())
-    return whole | of(max(words, key=lambda w: (weight(w), w))), whole.union(*map(of, words))
+    ship(brands.sparkSession)
+    return brands.select("block", "brand", "at", "asks", "size").mapInArrow(run, "entry bigint, at bigint, asks boolean").withColumn("found", F.lit(found))
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -163,6 +259,16 @@ def edits(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # What both begin and end with needs no edit.
+    i, m = 0, min(len(a), len(b))
+    while i < m and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < m - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return len(a) + len(b)
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -178,38 +284,22 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def words_agree(a: str, b: str) -> bool:
-    """Whether every word of the shorter brand has its like in the longer: one edit, two in words of eight letters and
-    more. Brands that differ in spaces alone agree too."""
-    if a == b:
-        return True
-    if edits(a.replace(" ", ""), b.replace(" ", ""), 2) <= (2 if min(len(a), len(b)) >= 8 else 1):
+    """Whether every word of the shorter brand has its like in the longer: one edit, two in words of eight letters and more, and
+    two in all where both have several words. Brands that differ in spaces alone agree too."""
+    if a == b or a.replace(" ", "") == b.replace(" ", ""):
         return True
     short, long = sorted((a.split(" "), b.split(" ")), key=len)
-    left = list(long)
+    left, spent = list(long), 0
     for w in short:
         like = min(left, key=lambda x: edits(w, x, 3), default=None)
-        if like is None or edits(w, like, 3) > (2 if min(len(w), len(like)) >= 8 else 1 if min(len(w), len(like)) >= 4 else 0):
+        d = edits(w, like, 3) if like is not None else 3
+        spent += d
+        if d > 2 or spent > 2 or d > (2 if min(len(w), len(like)) >= 8 else 1 if min(len(w), len(like)) >= 4 else 0):
             return False
         left.remove(like)
     return True
 
 
-def kinds_agree(a: str, b: str) -> bool:
-    """Kinds contradict each other unless one name has none or more than half of the shorter list is shared."""
-    if not a or not b or a == b:
-        return True
-    x, y = set(a.split(" ")), set(b.split(" "))
-    return 2 * len(x & y) > min(len(x), len(y))
-
-
-def first_names_agree(f1: str, i1: str, f2: str, i2: str) -> bool:
-    """Full first names must share one; a full name and initials must share a letter; initials alone likewise."""
-    if f1 and f2:
-        return bool(set(f1.split(" ")) & set(f2.split(" ")))
-    letters1, letters2 = {w[0] for w in f1.split(" ") if w} | set(i1), {w[0] for w in f2.split(" ") if w} | set(i2)
-    return not letters1 or not letters2 or bool(letters1 & letters2)
-
-
 def _read(rows: DataFrame) -> DataFrame:
     """Names and addresses read in one pass: ``id, brand, kinds, first, initials, house, street, kind, direction, city,
     postcode``; addresses that cannot be read are empty; rows without a name are left out."""
@@ -231,110 +321,81 @@ def _read(rows: DataFrame) -> DataFrame:
 
 
 def gram_weights(brands: DataFrame) -> np.ndarray:
-    """The inverse document frequency of each bucket of grams over all rows of ``brand``. Partitions send at most one
-    count a bucket, and the driver holds the 65,536 sums, whatever the number of rows."""
+    """The root of the inverse document frequency of each gram over all rows of ``brand``. Partitions send at most one count a gram, and
+    the driver holds the 4,096 sums, whatever the number of rows."""
+    size = CLASSES * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS + 1, np.int64)
+        n = np.zeros(size + 1, np.int64)
         for b in batches:
-            n[BUCKETS] += b.num_rows
+            n[size] += b.num_rows
             seen: list[int] = []
             for brand in b.column(0).to_pylist():
                 seen += brand_grams(brand)
-            n[:BUCKETS] += np.bincount(np.array(seen, np.int64), minlength=BUCKETS)
+            n[:size] += np.bincount(np.array(seen, np.int64), minlength=size)
         at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["bucket", "n"])
-
-    n = np.zeros(BUCKETS + 1, np.int64)
-    for r in brands.select("brand").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        n[r["bucket"]] = r["n"]
-    return np.log1p(n[BUCKETS] / np.maximum(n[:BUCKETS], 1)).astype(np.float32)
-
-
-def _prefixes(nodes: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """``nodes`` with ``gram``, a row for each gram of its brand's prefix: the heaviest grams, until what is left has a norm
-    under the threshold's share of the whole. Brands whose cosine reaches the threshold share one of them."""
-    sent = nodes.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w2 = sent.value.astype(np.float64) ** 2
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["gram", "n"])
 
-        @lru_cache(100_000)
-        def prefix(brand: str) -> list[int]:
-            order = sorted(brand_grams(brand), key=lambda g: (-w2[g], g))
-            left = total = float(w2[order].sum())
-            out = []
-            for g in order:
-                if out and left < (threshold - 1e-9) ** 2 * total:
-                    break
-                out.append(g)
-                left -= w2[g]
-            return out
-
-        for b in batches:
-            lists = list(map(prefix, b.column("brand").to_pylist()))
-            again = pa.array([i for i, x in enumerate(lists) for _ in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[c.take(again) for c in b.columns], pa.array([g for x in lists for g in x], pa.int32())], [*b.schema.names, "gram"])
-
-    return nodes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", gram int")
-
-
-def _entries(brands: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``at, town, lost, few, form``: the entries of each ``at, town, lost, brand``, ``few`` being those of a brand with fewer words
-    than the other."""
-    sent = brands.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w2 = sent.value.astype(np.float64) ** 2
-        heavy = lru_cache(200_000)(lambda w: float(w2[list(brand_grams(w))].sum()))
-
-        @lru_cache(50_000)
-        def both(brand: str) -> tuple[list[str], list[bool]]:
-            few, many = index_entries(brand, heavy)
-            return [*few, *many], [True] * len(few) + [False] * len(many)
-
-        for b in batches:
-            got = list(map(both, b.column("brand").to_pylist()))
-            again = pa.array(np.repeat(np.arange(len(got)), [len(f) for f, _ in got]), pa.int32())
-            few, form = pa.array([x for _, fs in got for x in fs], pa.bool_()), pa.array([x for fs, _ in got for x in fs], pa.string())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(again) for c in ("at", "town", "lost")], few, form], ["at", "town", "lost", "few", "form"])
-
-    return brands.select("at", "town", "lost", "brand").mapInArrow(run, "at bigint, town string, lost boolean, few boolean, form string")
+    n = np.zeros(size + 1, np.int64)
+    for r in brands.select("brand").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        n[r["gram"]] = r["n"]
+    return np.sqrt(np.log1p(n[size] / np.maximum(n[:size], 1)))
 
 
 def _scored(pairs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """``a, b, sim`` of the candidate pairs whose names agree; ``near`` pairs share an address, the others must be closer."""
+    """``x, y, sim, sure`` of the pairs of different brands whose cosine reaches the threshold and whose words agree; ``sure``
+    ones differ by one edit at most where they are short. One row a pair of brands, wherever and however often it is met."""
     sent = pairs.sparkSession.sparkContext.broadcast(weights)
-    columns = [f"{s}_{c}" for c in ("brand", "kinds", "first", "initials") for s in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w2 = sent.value.astype(np.float64) ** 2
+        w2 = (sent.value.astype(np.float64) ** 2).tolist()
 
         @lru_cache(100_000)
         def vector(brand: str) -> tuple[frozenset[int], float]:
-            g = brand_grams(brand)
-            return frozenset(g), float(np.sqrt(w2[list(g)].sum()))
+            g = frozenset(brand_grams(brand))
+            return g, sum(map(w2.__getitem__, sorted(g))) ** 0.5
 
-        @lru_cache(200_000)
         def similar(x: str, y: str) -> float:
-            (g, m), (h, n) = vector(x), vector(y)
-            cos = float(w2[list(g & h)].sum()) / (m * n or 1.0)
-            return cos if cos >= threshold and words_agree(x, y) else 0.0
-
-        def judged(near: bool, b1: str, b2: str, k1: str, k2: str, f1: str, f2: str, i1: str, i2: str) -> float:
-            if (k1 != k2 and not kinds_agree(k1, k2)) or ((f1 != f2 or i1 != i2) and not first_names_agree(f1, i1, f2, i2)):
+            if not words_agree(x, y):
                 return 0.0
-            if b1 == b2:
-                return 1.0
-            s = similar(b1, b2)
-            return 0.0 if s and not near and (s < threshold + 0.1 or (len(b1) < 9 and edits(b1, b2, 1) > 1)) else s
+            (g, m), (h, n) = vector(x), vector(y)
+            cos = sum(map(w2.__getitem__, sorted(g & h))) / (m * n or 1.0)
+            return cos if cos >= threshold else 0.0
 
         for b in batches:
-            got = np.array(list(map(judged, *[b.column(c).to_pylist() for c in ("near", *columns)])), np.float64)
-            kept = pa.array(np.nonzero(got)[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(kept), b.column("b").take(kept), pa.array(got[got > 0], pa.float64())], ["a", "b", "sim"])
-
-    return pairs.select("a", "b", "near", *columns).mapInArrow(run, "a bigint, b bigint, sim double")
+            xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
+            got = np.array(list(map(similar, xs, ys)), np.float64)
+            kept = np.nonzero(got)[0]
+            sure = [min(len(xs[i]), len(ys[i])) >= 9 or edits(xs[i], ys[i], 1) <= 1 for i in kept]
+            at = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("x").take(at), b.column("y").take(at), pa.array(got[kept], pa.float64()), pa.array(sure, pa.bool_())], ["x", "y", "sim", "sure"])
+
+    return pairs.mapInArrow(run, "x string, y string, sim double, sure boolean")
+
+
+def _near() -> Column:
+    """What holds wherever the words of ``x`` and ``y`` agree: each word of the one with fewer has one in the other within four
+    Levenshtein edits (a swap being two of them), or only spaces differ."""
+    x, y = F.split("x", " "), F.split("y", " ")
+    close = lambda a, b: F.when(F.least(F.length(a), F.length(b)) < 8, F.levenshtein(a, b, 2) >= 0).otherwise(F.levenshtein(a, b, 4) >= 0)
+    every = lambda a, b: F.forall(a, lambda v: F.exists(b, lambda w: close(v, w)))
+    one = ~F.col("x").contains(" ") & ~F.col("y").contains(" ")
+    glued = F.replace(F.col("x"), F.lit(" "), F.lit("")) == F.replace(F.col("y"), F.lit(" "), F.lit(""))
+    return F.when(one, close(F.col("x"), F.col("y"))).otherwise(glued | F.when(F.size(x) <= F.size(y), every(x, y)).otherwise(every(y, x)))
+
+
+def _agreeing() -> Column:
+    """Whether kinds and first names of ``a_*`` and ``b_*`` agree: kinds contradict each other unless one name has none or more
+    than half of the shorter list is shared; full first names must share one, a full name and initials a letter, initials
+    alone likewise."""
+    listed = lambda c: F.split(F.col(c), " ")
+    shared = lambda c: F.size(F.array_intersect(listed(f"a_{c}"), listed(f"b_{c}")))
+    blank = lambda c: (F.col(f"a_{c}") == "") | (F.col(f"b_{c}") == "")
+    kinds = blank("kinds") | (2 * shared("kinds") > F.least(F.size(listed("a_kinds")), F.size(listed("b_kinds"))))
+    letters = lambda s: F.filter(F.concat(F.transform(listed(f"{s}_first"), lambda w: F.substr(w, F.lit(1), F.lit(1))), F.split(F.col(f"{s}_initials"), "")), lambda c: c != "")
+    a, b = letters("a"), letters("b")
+    named = F.when(~blank("first"), shared("first") > 0).otherwise((F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b))
+    return kinds & named
 
 
 def _with_outlets(found: DataFrame, nodes: DataFrame, codes: DataFrame, outlets: int) -> DataFrame:
@@ -366,25 +427,24 @@ def _with_outlets(found: DataFrame, nodes: DataFrame, codes: DataFrame, outlets:
     return both.filter(F.when(F.col("b_place").isNotNull(), to_address).otherwise(between)).select("a", "b", "sim")
 
 
-def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_name: str = "wof:name", street: str = "street", number: str = "number", city: str = "city", postcode: str = "postcode", threshold: float = 0.25, linkage: float = 0.2, outlets: int = 3, crowd: int = 64) -> DataFrame:
+def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_name: str = "wof:name", street: str = "street", number: str = "number", city: str = "city", postcode: str = "postcode", threshold: float = 0.35, linkage: float = 0.2, outlets: int = 3) -> DataFrame:
     """Pairs ``<key>_a < <key>_b`` of records that name the same venue at one place.
 
     One row per key is expected (repeated rows repeat their pairs). A record takes part if ``name`` or else ``other_name`` names something and its city or
     postcode is known; null keys, fillers and blanks take part in nothing; names of any length are read whole; equal
     names pair like others; an empty table gives no pairs; further columns are ignored.
 
-    1. Records equal in everything that is read from them become one node. 2. Candidates: nodes of one address (all of
-    them where there are at most ``crowd``, otherwise those whose prefixes of n-grams meet, which no pair over the threshold
-    fails to do, so nothing is lost), and, for
-    nodes without a readable address, nodes of the same town whose brands share an entry of the index of words with letters
-    left out, which all do on whose words step 3 agrees. 3. A
-    candidate becomes a link if the cosine of the weighted character n-grams reaches ``threshold`` and an exact check of
-    words, kinds and first names agrees. 4. Links are grouped by average linkage, cut at ``linkage``: records
+    1. Records equal in everything that is read from them become one node. 2. Brands are compared within an address, and
+    those of nodes without a readable address with all of their town. They meet in one inverted index of gapped
+    character grams by address or town (:func:`index_entries`), which all pairs do on whose words step 3 agrees, however many they are.
+    3. Each pair of brands is judged once, wherever it is met: the cosine of the weighted character n-grams must reach ``threshold``
+    (a tenth more without an address), then an exact check of the words agree; nodes of agreeing brands are linked if their kinds and first names
+    agree too. 4. Links are grouped by average linkage, cut at ``linkage``: records
     without address join the one venue that their name fits best. 5. Pairs of a group are given, unless both have an
     address and these differ.
 
-    A record without an address whose name fits names at ``outlets`` or more addresses of its town equally well is a chain's:
-    it goes with the one outlet that shares its postcode, if there is one, and with none otherwise; records without
+    A record without an address whose name fits names at ``outlets`` or more addresses of its town equally well may be any of
+    them: it goes with the one outlet that shares its postcode, if there is one, and with none otherwise; records without
     address are linked to each other all the same (:func:`_with_outlets`)."""
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(f"`{name}`").alias("name"), F.col(f"`{other_name}`").alias("wof"), F.col(street).alias("street"), F.col(number).alias("number"), F.col(city).alias("city"), F.col(postcode).alias("postcode"))
     read = materialize(_read(rows), "names-read")
@@ -400,31 +460,50 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
 
     # A node's members are equal in what was read, so it needs no more than one row.
     zone = F.when(F.col("place").isNull(), F.col("postcode")).alias("zone")
-    nodes = materialize(placed.select("node", "town", "place", "outlet", "kind", zone, *who).distinct(), "names-nodes")
+    nodes = materialize(placed.select("node", F.xxhash64("town").alias("town"), "place", "outlet", "kind", zone, *who).distinct(), "names-nodes")
     weights = gram_weights(nodes.select("brand").distinct())
 
-    home = nodes.filter("place IS NOT NULL")
-    crowds = small_side(home.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("place"), "names-crowds")
-    a, b = (home.join(crowds, "place", "left_anti").select("place", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*who, "kind")]) for s in "ab")
-    streets = (F.col("a") < F.col("b")) & ((F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == ""))
-    columns = ["a", "b", *[f"{s}_{c}" for c in who for s in "ab"]]
-    same = a.join(b, "place").filter(streets).select(*columns)
-    listed = _prefixes(home.join(crowds, "place", "left_semi"), weights, threshold)
-    a, b = (listed.select("place", "gram", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*who, "kind")]) for s in "ab")
-    same = same.unionByName(a.join(b, ["place", "gram"]).filter(streets).select(*columns).dropDuplicates(["a", "b"])).withColumn("near", F.lit(True))
-
-    # Brands of a town meet in the index once, whatever the number of their nodes; only entries of a brand without address
-    # are looked up.
-    brands = nodes.groupBy("town", "brand").agg(F.max(F.col("place").isNull()).alias("lost")).withColumn("at", F.xxhash64("town", "brand"))
-    index = materialize(_entries(brands, weights).select("at", "lost", "few", F.xxhash64("town", "form").alias("entry")), "names-index")
-    a, b = (index.select("entry", "few", "lost", F.col("at").alias(f"{s}_at")) for s in "ab")
-    met = a.filter("lost").drop("lost").alias("x").join(b.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.few") != F.col("y.few")))
-    met = materialize(met.select("a_at", "b_at").distinct(), "names-met-brands")
-    a, b = (nodes.select(F.xxhash64("town", "brand").alias(f"{s}_at"), F.col("place").isNull().alias(f"{s}_lost"), F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in who]) for s in "ab")
-    town = met.join(a.filter("a_lost"), "a_at").join(b, "b_at").filter((F.col("a") != F.col("b")) & (~F.col("b_lost") | (F.col("a") < F.col("b")))).withColumn("near", F.lit(False))
-    found = materialize(_scored(town.select(*columns, "near"), weights, threshold), "names-in-town")
+    # A node stands in the block of its address if others do, and in its town's if that has nodes without address, which alone ask there.
+    asks = F.col("place").isNull()
+    crowded = nodes.filter(~asks).groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("place").alias("block"))
+    asking = small_side(nodes.filter(asks).select(F.col("town").alias("block")).distinct(), "names-asking-towns")
+    here = nodes.filter(~asks).withColumn("block", F.col("place")).join(crowded, "block", "left_semi").withColumn("asks", F.lit(True))
+    there = nodes.withColumn("block", F.col("town")).join(asking, "block", "left_semi").withColumn("asks", asks)
+    stands = here.unionByName(there).select("node", "place", "kind", *who, "block", "asks", F.xxhash64("block", "brand").alias("at"))
+    stands = materialize(stands, "names-blocks")
+    brands = materialize(stands.groupBy("at", "block", "brand").agg(F.max("asks").alias("asks")), "names-brands")
+    # The more brands a block has, the longer the grams: those that meet by chance stay about as many.
+    sizes = brands.groupBy("block").agg(F.count("*").alias("k")).select("block", F.greatest(F.ceil(F.log(8.0, F.col("k"))) + 2, F.lit(3)).cast("bigint").alias("size"))
+    sized = spread(brands.join(sizes, "block"), "at")
+    side = lambda df, s: df.select("entry", *[F.col(c).alias(f"{s}_{c}") for c in ("at", "asks", "found")])
+    asking, others = sized.filter("asks"), sized.filter("NOT asks")
+    several = lambda df: df.filter(F.col("brand").contains(" "))
+    # What a brand is only found under does not meet its like: two brands need not be compared because one word is in both.
+    all_ = _indexed(sized, False).unionByName(_indexed(several(sized), True))
+    met = side(_indexed(asking, False), "a").hint("shuffle_hash").join(side(all_, "b"), "entry").filter((F.col("a_at") != F.col("b_at")) & (F.col("b_found") | ~F.col("b_asks") | (F.col("a_at") < F.col("b_at"))))
+    found = side(_indexed(several(asking), True), "a").hint("shuffle_hash").join(side(_indexed(others, False), "b"), "entry").filter(F.col("a_at") != F.col("b_at"))
+    met = met.select("a_at", "b_at", "b_asks").unionByName(found.select("a_at", "b_at", "b_asks"))
+    # A pair of which both ask is met from either side.
+    turned = F.col("b_asks") & (F.col("a_at") > F.col("b_at"))
+    met = met.select(F.when(turned, F.col("b_at")).otherwise(F.col("a_at")).alias("a_at"), F.when(turned, F.col("a_at")).otherwise(F.col("b_at")).alias("b_at")).distinct()
+    named = brands.select("at", "brand")
+    met = met.join(named.select(F.col("at").alias("a_at"), F.col("brand").alias("x")), "a_at").join(named.select(F.col("at").alias("b_at"), F.col("brand").alias("y")), "b_at").filter(_near())
+    met = materialize(met, "names-met-brands")
+    both_ways = F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("p")
+    alike = _scored(spread(met.select(both_ways).distinct().select("p.*"), "x", "y"), weights, threshold)
+    met = met.withColumn("p", both_ways).select("a_at", "b_at", "p.x", "p.y").join(materialize(alike, "names-alike"), ["x", "y"]).select("a_at", "b_at", "sim", "sure")
+    # Equal brands of a block are its nodes' own affair.
+    equal = stands.select(F.col("at").alias("a_at"), F.col("at").alias("b_at"), F.lit(1.0).alias("sim"), F.lit(True).alias("sure")).distinct()
+    side = lambda s: stands.select(*[F.col(c).alias(f"{s}_{c}") for c in ("at", "node", "place", "kind", "asks", *who[1:])])
+    pairs = met.unionByName(equal).join(side("a").filter("a_asks"), "a_at").join(side("b"), "b_at")
+    same = F.col("a_at") == F.col("b_at")
+    pairs = pairs.filter((~same | ~F.col("b_asks") | (F.col("a_node") < F.col("b_node"))) & (F.col("a_node") != F.col("b_node")) & _agreeing())
+    streets = (F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")
+    home = F.col("a_place").isNotNull()
+    pairs = pairs.filter(F.when(home, streets).otherwise(F.col("sure") & (F.col("sim") >= threshold + 0.1)))
+    pairs = materialize(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "sim", home.alias("home")), "names-linked")
     codes = placed.filter("place IS NOT NULL AND postcode <> ''").select("place", "postcode").distinct()
-    links = _scored(same, weights, threshold).unionByName(_with_outlets(found, nodes, codes, outlets))
+    links = pairs.filter("home").select("a", "b", "sim").unionByName(_with_outlets(pairs.filter("NOT home").select("a", "b", "sim"), nodes, codes, outlets))
     groups = average_linkage(materialize(links, "names-links"), linkage)
 
     member = placed.select("id", "node", "place", "kind").join(groups, "node", "left").withColumn("venue", F.coalesce("cluster", "node"))

@@ -1,4 +1,4 @@
-"""Weighted character n-grams, prefix-filtered inverted indexes and the correction of spellings by them."""
+"""Weighted character n-grams, prefix-filtered inverted indexes and the settling of spellings by them."""
 
 from __future__ import annotations
 
@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from placeweave.session import materialize, small_side
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """The distinct character n-grams of the text between two bars; of a shorter text the whole."""
-    padded = F.concat(F.lit("|"), text, F.lit("|"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substr(padded, i, F.lit(n))))
+def grams(text: Column) -> Column:
+    """The distinct pairs of letters that stand side by side or one apart, in their order, the text being set between bars.
+    Letters that change places keep most of their pairs, and so do the neighbours of one that is missing or doubled."""
+    t = F.concat(F.lit("|"), text, F.lit("|"))
+    side = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
+    apart = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.concat(F.substr(t, i, F.lit(1)), F.substr(t, i + 2, F.lit(1))))
+    return F.array_distinct(F.concat(side, apart))
 
 
 def one_edit_apart(a: Column, b: Column, edits: Column, most: int = 6) -> Column:
-    """Whether at most ``edits`` single-letter edits part two texts, two neighbours changing places being one edit: beside
+    """Whether at most ``edits`` single-letter edits part two texts, two neighbours changing places being one: beside
     the Levenshtein distance, equal letters in another order count half."""
     d = F.levenshtein(a, b, most)  # -1 beyond
     same_letters = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
     return (d >= 0) & ((d <= edits) | ((d <= 2 * edits) & same_letters))
 
 
-def weighted(vocabulary: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """``text, gram, w``: each text's grams with their inverse document frequency over the vocabulary. Distinct grams are few
-    (letters to the n-th power at most): they are broadcast behind a count, so the texts' own partitioning stays."""
-    rows = vocabulary.select(F.col(text).alias("text")).select("text", F.explode(grams(F.col("text"), n)).alias("gram"))
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` by hash over as many tasks as a shuffle has: few bytes that take much work would else be coalesced into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def weighted(vocabulary: DataFrame, text: str) -> DataFrame:
+    """``text, gram, w``: each text's grams, weighted by the root of their inverse document frequency over the vocabulary, since a
+    slip of the pen makes rare grams, which would else outweigh all that two spellings share. Distinct grams are few (the
+    letters' square at most): they are broadcast behind a count, so the texts' own partitioning stays."""
+    rows = spread(vocabulary.select(F.col(text).alias("text")), "text").select("text", F.explode(grams(F.col("text"))).alias("gram"))
     df = small_side(rows.groupBy("gram").agg(F.count("*").alias("df")), "gram-frequencies")
     total = vocabulary.agg(F.count("*")).scalar()
-    return rows.join(df, "gram").withColumn("w", F.ln(1 + total / F.col("df")))
+    return rows.join(df, "gram").withColumn("w", F.sqrt(F.ln(1 + total / F.col("df"))))
 
 
 def vectors(weights: DataFrame, threshold: float) -> DataFrame:
-    """``text, vector, norm, prefix``: the grams by falling weight, and the prefix of them that any text with a cosine of
+    """``text, grams, squares, norm, prefix``: the grams by falling weight, and the prefix of them that any text with a cosine of
     at least ``threshold`` must meet in its own prefix: the shortest that leaves a rest whose norm is under the
     threshold's share of the whole."""
     v = weights.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("vector"))
@@ -54,28 +63,43 @@ def cosine(a: str, b: str) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.col(f"{a}_norm") * F.col(f"{b}_norm"))
 
 
-def corrections(vocabulary: DataFrame, text: str = "text", count: str = "n", threshold: float = 0.3, established: int = 8, ratio: float = 8.0, edits: int = 2, n: int = 2) -> DataFrame:
-    """``text, to``: for spellings of a vocabulary with counts, the established spelling each is taken for.
-
-    A spelling is corrected to one that occurs at least ``established`` times and ``ratio`` times as often as itself, whose
-    weighted n-grams have a cosine of at least ``threshold`` with its own, and which ``edits`` edits reach (one in texts of
-    under eight letters); of several the most similar, then the most frequent, then the first in order. Spellings
-    without such a partner are missing from the result. Candidates meet in an inverted index of the prefixes only;
-    the established side is the small one, so the work grows with the vocabulary, not with its square."""
-    words = vocabulary.select(F.col(text).alias("text"), F.col(count).alias("n")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    v = materialize(vectors(weighted(words, "text", n), threshold).join(words, "text").withColumn("id", F.xxhash64("text")), "spelling-vectors")
-    # g grams in all, and those of them outside the prefix, which the index does not see.
-    measures = [F.col("n").alias("n"), F.length("text").alias("l"), F.size("grams").alias("g"), (F.size("grams") - F.size("prefix")).alias("rest")]
-    index = v.select("id", *measures, F.explode("prefix").alias("gram"))
-    a, b = index.alias("a"), index.filter(F.col("n") >= established).alias("b")
-    met = a.join(b, "gram").filter((F.col("b.n") >= ratio * F.col("a.n")) & (F.abs(F.col("a.l") - F.col("b.l")) <= edits))
-    # The index holds numbers only, and a pair is brought down to one row before any text is compared. An edit changes at
-    # most n + 1 grams, so a pair must share all but those, in the index or outside of it.
-    needed = F.greatest("a.g", "b.g") - edits * (n + 1) - F.col("a.rest") - F.col("b.rest")
-    met = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), needed.alias("needed")).agg(F.count("*").alias("shared")).filter("shared >= needed").select("a", "b")
-    side = lambda s: v.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("text", "n", "grams", "squares", "norm")])
+def similar(vocabulary: DataFrame, threshold: float, edits: int = 2, slips: float = 0.1) -> DataFrame:
+    """``block, text, to, cos, to_n``: for each spelling of a vocabulary ``block, text, n`` the spellings of its block that are more
+    frequent (of equal ones the first in order), whose weighted grams have a cosine of at least ``threshold`` with its own,
+    and that ``edits`` edits reach (one in texts of under eight letters). Where one letter stands for another, as in the names of
+    two places (Millerton, Hillerton), the rarer must not be more frequent than slips are: with the other's count m,
+    at most ``slips`` x m, and three standard deviations and one more.
+
+    Candidates meet in an inverted index of the prefixes by block and gram, whatever their counts; no pair over the threshold
+    fails to. The edits are tested in the join, so that the vectors are only fetched for what is left of it."""
+    words = vocabulary.filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    v = materialize(vectors(weighted(words.select("text").distinct(), "text"), threshold), "spelling-vectors")
+    index = words.join(v.select("text", "prefix"), "text").select("block", "text", "n", F.explode("prefix").alias("gram"))
+    index = spread(index, "block", "gram")
+    a, b = (index.select("block", "gram", F.col("n").alias(f"{s}_n"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    up = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_text") > F.col("b_text")))
     room = F.when(F.least(F.length("a_text"), F.length("b_text")) < 8, 1).otherwise(edits)
-    near = met.join(side("a"), "a").join(side("b"), "b").filter(one_edit_apart(F.col("a_text"), F.col("b_text"), room, 2 * edits))
-    close = near.withColumn("cos", cosine("a", "b")).filter(F.col("cos") >= threshold)
-    best = close.groupBy("a_text").agg(F.max(F.struct(F.round("cos", 9).alias("c"), F.col("b_n").alias("n"), F.col("b_text").alias("to"))).alias("best"))
-    return best.select(F.col("a_text").alias("text"), F.col("best.to").alias("to"))
+    near = (F.abs(F.length("a_text") - F.length("b_text")) <= edits) & (F.levenshtein("a_text", "b_text", 2 * edits) >= 0)
+    met = a.join(b, ["block", "gram"]).filter(up & near).select("block", "a_text", "b_text", "a_n", "b_n").distinct()
+    as_long = F.length("a_text") == F.length("b_text")
+    swapped = F.array_sort(F.split("a_text", "")) == F.array_sort(F.split("b_text", ""))
+    met = met.filter(~as_long | swapped | (F.col("a_n") <= 1 + slips * F.col("b_n") + 3 * F.sqrt(slips * F.col("b_n"))))
+    met = met.filter(one_edit_apart(F.col("a_text"), F.col("b_text"), room, 2 * edits))
+    side = lambda s: v.select(F.col("text").alias(f"{s}_text"), *[F.col(c).alias(f"{s}_{c}") for c in ("grams", "squares", "norm")])
+    near = spread(met.join(side("a"), "a_text"), "b_text").join(side("b"), "b_text").withColumn("cos", cosine("a", "b"))
+    return near.filter(F.col("cos") >= threshold).select("block", F.col("a_text").alias("text"), F.col("b_text").alias("to"), "cos", F.col("b_n").alias("to_n"))
+
+
+def settled(links: DataFrame) -> DataFrame:
+    """``block, text, to`` of the spellings that stand for another: each for the most frequent of those it is linked to by
+    :func:`similar` (then the most similar, then the first in order), followed to the end, so that spellings that lead to one
+    another by steps have one spelling. Links go to the more frequent, so they have no rings."""
+    best = links.groupBy("block", "text").agg(F.max(F.struct("to_n", F.round("cos", 9).alias("c"), "to")).alias("best"))
+    ends = materialize(best.select("block", "text", F.col("best.to").alias("to")), "spellings-settled")
+    # Each turn doubles the steps that are made at once.
+    while True:
+        above = ends.select("block", F.col("text").alias("to"), F.col("to").alias("above"))
+        further = ends.join(above, ["block", "to"], "left")
+        if further.filter("above IS NOT NULL").isEmpty():
+            return ends
+        ends = materialize(further.select("block", "text", F.coalesce("above", "to").alias("to")), "spellings-settled")
