@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.ngrams import settled, similar
-from placeweave.session import materialize, ship, small_side
+from placeweave.session import discard, materialize, ship, small_side
 
 # Kinds of streets and how they are written.
 KINDS = {
@@ -209,15 +209,16 @@ def located(records: DataFrame, key: str, street: Column, number: Column, city:
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), street.alias("street"), number.alias("number"), city.alias("city"), postcode.alias("postcode"))
     rows = rows.filter(F.col("street").isNotNull())
     read = materialize(_parsed(rows), "addresses-read")
-    placed = settled_cities(read).select("id", "town", "house", "kind", "direction", "name", F.col("name").alias("street"))
-    return resolved_streets(materialize(placed, "addresses-settled"))
+    placed = materialize(settled_cities(read).select("id", "town", "house", "kind", "direction", "name", F.col("name").alias("street")), "addresses-settled")
+    discard(read)
+    return resolved_streets(placed)
 
 
 def resolved_streets(rows: DataFrame, threshold: float = ALIKE) -> DataFrame:
     """``rows`` (with ``town, house, street``) with ``street`` replaced by the spelling it stands for in its town.
 
-    All different spellings of a town, however many rows bear them, are compared through an index of the prefixes of their
-    weighted grams, with the cosine and the number of edits tested (:func:`similar`); each stands for the most frequent it is
+    All different spellings of a town, however many rows bear them, are compared through an index of their
+    gapped grams, with the cosine and the number of edits tested (:func:`similar`); each stands for the most frequent it is
     like, step by step. Numbered streets (4th) are nobody's slip. A street's spellings are far fewer than its rows, so
     the comparison costs little beside the reading; house numbers are compared when the addresses are joined."""
     spelt = rows.filter((F.col("house") != "") & ~F.col("street").rlike(r"^\d+$")).groupBy(F.col("town").alias("block"), F.col("street").alias("text")).agg(F.count("*").alias("n"))

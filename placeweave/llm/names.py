@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import permutations
 from zlib import crc32
 
 import numpy as np
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postcode, read_street, resolved_streets, settled_cities
 from placeweave.llm.fusion import NAME_FILLERS
 from placeweave.llm.linkage import average_linkage
-from placeweave.llm.ngrams import spread
-from placeweave.session import materialize, ship, small_side
+from placeweave.llm.ngrams import ends_of, gapped_grams, left_out, spread, stirred
+from placeweave.session import discard, materialize, ship, small_side
 
 # Short forms of first names, after the name they stand for.
 NICKNAMES = {
@@ -140,69 +140,15 @@ def brand_grams(brand: str) -> set[int]:
     return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64 bits stirred so that each depends on all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _left_out(letters: np.ndarray, cut: int) -> list[np.ndarray]:
-    """What is left of each row of letters (a byte each, eight at most) with ``cut`` of them left out, for each choice, as numbers:
-    grams with gaps."""
-    size = letters.shape[1]
-    out = []
-    for gone in combinations(range(size), cut):
-        code = np.full(len(letters), cut, np.uint64)
-        for i in range(size):
-            if i not in gone:
-                code = code << np.uint64(8) | letters[:, i]
-        out.append(code)
-    return out
-
-
-def _ends(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first eight and the last eight letters of each word, a byte each (other letters than Latin ones share bytes), and its length."""
-    raw = [w.encode("ascii") if w.isascii() else bytes(ord(c) % 251 + 1 for c in w) for w in words]
-    first = np.frombuffer(b"".join(w[:8].ljust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
-    last = np.frombuffer(b"".join(w[-8:].rjust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
-    return first.astype(np.uint64), last.astype(np.uint64), np.array([len(w) for w in raw])
-
-
-def _forms(words: list[str], size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``rows, numbers``: the gapped grams of words: as :func:`words_agree` asks, words of under eight letters bear one edit,
-    others two. Words that so many edits part, two neighbours changing places being one, share one: of the first letters with
-    one left out, or of the first and last letters, ``size`` together, with two left out. An edit changes one of the two ends,
-    unless it swaps letters across the middle of an eight-letter word, which therefore has the grams of the swapped word too."""
-    if not words:
-        return
-    first, last, n = _ends(words)
-    tiny = np.nonzero(n < 4)[0]
-    yield tiny, _left_out(first[tiny], 0)[0]
-    for k in range(3, 9):
-        if k <= 6:
-            at = np.nonzero((n >= 4) & (n <= 8) & (np.minimum(size, 6) == k))[0]
-            for code in _left_out(first[at][:, :k], 1):
-                yield at, code
-        at = np.nonzero((n >= 8) & (np.minimum(size, 8) == k))[0]
-        ends = np.hstack([first[at][:, : (k + 1) // 2], last[at][:, 8 - k // 2 :]])
-        for code in _left_out(ends, 2):
-            yield at, code
-        if k == 8:
-            swapped = n[at] == 8
-            for code in _left_out(ends[swapped][:, [0, 1, 2, 4, 3, 5, 6, 7]], 2):
-                yield at[swapped], code
-
-
 def _pair_forms(pairs: list[tuple[str, str]], size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The gapped grams of two words together: of the first letters of each, ``size`` together, two of them left out."""
     if not pairs:
         return
-    (a, _, _), (b, _, _) = _ends([p[0] for p in pairs]), _ends([p[1] for p in pairs])
+    (a, _, _), (b, _, _) = ends_of([p[0] for p in pairs]), ends_of([p[1] for p in pairs])
     half = np.minimum((size + 1) // 2, 4)
     for k in range(2, 5):
         at = np.nonzero(half == k)[0]
-        for code in _left_out(np.hstack([a[at][:, :k], b[at][:, :k]]), 2):
+        for code in left_out(np.hstack([a[at][:, :k], b[at][:, :k]]), 2):
             yield at, code
 
 
@@ -228,11 +174,11 @@ def index_entries(brands: list[str], size: np.ndarray, found: bool) -> tuple[np.
         if not found:
             glued.append((i, "".join(ws)))
     rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for tag, items, forms in ((1, words, _forms), (2, pairs, _pair_forms)):
+    for tag, items, forms in ((1, words, gapped_grams), (2, pairs, _pair_forms)):
         of = np.array([i for i, _ in items], np.int64)
         for at, code in forms([x for _, x in items], size[of]):
             rows.append(of[at])
-            codes.append(_mixed(code + np.uint64(tag << 60)))
+            codes.append(stirred(code + np.uint64(tag << 60)))
     rows.append(np.array([i for i, _ in glued], np.int64))
     codes.append(np.array([crc32(w.encode()) for _, w in glued], np.uint64) + np.uint64(3 << 60))
     return np.concatenate(rows), np.concatenate(codes)
@@ -245,7 +191,7 @@ def _indexed(brands: DataFrame, found: bool) -> DataFrame:
         for b in batches:
             rows, codes = index_entries(b.column("brand").to_pylist(), b.column("size").to_numpy(), found)
             block = b.column("block").to_numpy().view(np.uint64)
-            entry = _mixed(codes ^ _mixed(block)[rows]).view(np.int64)
+            entry = stirred(codes ^ stirred(block)[rows]).view(np.int64)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(entry), b.column("at").take(at), b.column("asks").take(at)], ["entry", "at", "asks"])
 
@@ -448,7 +394,9 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     address are linked to each other all the same (:func:`_with_outlets`)."""
     rows = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(f"`{name}`").alias("name"), F.col(f"`{other_name}`").alias("wof"), F.col(street).alias("street"), F.col(number).alias("number"), F.col(city).alias("city"), F.col(postcode).alias("postcode"))
     read = materialize(_read(rows), "names-read")
-    placed = resolved_streets(materialize(settled_cities(read), "names-settled"))
+    towns = materialize(settled_cities(read), "names-settled")
+    discard(read)
+    placed = resolved_streets(towns)
     # An address and a node are known by 64-bit hashes of what they consist of.
     lost = F.col("house") == ""
     placed = placed.withColumn("place", F.when(~lost, F.xxhash64("town", "house", "street", "direction")))
@@ -457,6 +405,7 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     placed = placed.withColumn("outlet", F.when(~lost, F.xxhash64("town", F.regexp_extract("house", r"^\d+", 0), "street")))
     placed = placed.select("id", "town", "place", "outlet", "kind", "postcode", *who, F.xxhash64(F.coalesce("place", F.xxhash64("town", "postcode")), "kind", lost, *who).alias("node"))
     placed = materialize(placed, "names-placed")
+    discard(towns)
 
     # A node's members are equal in what was read, so it needs no more than one row.
     zone = F.when(F.col("place").isNull(), F.col("postcode")).alias("zone")
@@ -502,6 +451,7 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     home = F.col("a_place").isNotNull()
     pairs = pairs.filter(F.when(home, streets).otherwise(F.col("sure") & (F.col("sim") >= threshold + 0.1)))
     pairs = materialize(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "sim", home.alias("home")), "names-linked")
+    discard(stands, brands)
     codes = placed.filter("place IS NOT NULL AND postcode <> ''").select("place", "postcode").distinct()
     links = pairs.filter("home").select("a", "b", "sim").unionByName(_with_outlets(pairs.filter("NOT home").select("a", "b", "sim"), nodes, codes, outlets))
     groups = average_linkage(materialize(links, "names-links"), linkage)

@@ -1,11 +1,16 @@
-"""Weighted character n-grams, prefix-filtered inverted indexes and the settling of spellings by them."""
+"""Weighted character n-grams, inverted indexes of gapped n-grams, and the settling of spellings by them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.session import materialize, small_side
+from placeweave.session import materialize, ship, small_side
 
 
 def grams(text: Column) -> Column:
@@ -40,20 +45,11 @@ def weighted(vocabulary: DataFrame, text: str) -> DataFrame:
     return rows.join(df, "gram").withColumn("w", F.sqrt(F.ln(1 + total / F.col("df"))))
 
 
-def vectors(weights: DataFrame, threshold: float) -> DataFrame:
-    """``text, grams, squares, norm, prefix``: the grams by falling weight, and the prefix of them that any text with a cosine of
-    at least ``threshold`` must meet in its own prefix: the shortest that leaves a rest whose norm is under the
-    threshold's share of the whole."""
-    v = weights.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False).alias("vector"))
-    v = v.withColumn("norm2", F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    # Walk the vector from its heaviest gram; keep grams while what has been passed leaves too heavy a rest.
-    walked = F.aggregate(
-        "vector",
-        F.struct(F.lit(0.0).alias("seen"), F.lit(0).alias("k")),
-        lambda acc, x: F.struct((acc["seen"] + x["w"] * x["w"]).alias("seen"), F.when(F.col("norm2") - acc["seen"] >= (threshold - 1e-9) ** 2 * F.col("norm2"), acc["k"] + 1).otherwise(acc["k"]).alias("k")),
-    )
-    v = v.withColumn("k", walked["k"])
-    return v.select("text", F.transform("vector", lambda x: x["gram"]).alias("grams"), F.transform("vector", lambda x: x["w"] * x["w"]).alias("squares"), F.sqrt("norm2").alias("norm"), F.transform(F.slice("vector", F.lit(1), F.greatest("k", F.lit(1))), lambda x: x["gram"]).alias("prefix"))
+def vectors(weights: DataFrame) -> DataFrame:
+    """``text, grams, squares, norm``: each text's grams, the squares of their weights, and the vector's length."""
+    v = weights.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("gram", "w"))).alias("vector"))
+    squares = F.transform("vector", lambda x: x["w"] * x["w"])
+    return v.select("text", F.transform("vector", lambda x: x["gram"]).alias("grams"), squares.alias("squares"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)).alias("norm"))
 
 
 def cosine(a: str, b: str) -> Column:
@@ -63,28 +59,99 @@ def cosine(a: str, b: str) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.col(f"{a}_norm") * F.col(f"{b}_norm"))
 
 
-def similar(vocabulary: DataFrame, threshold: float, edits: int = 2, slips: float = 0.1) -> DataFrame:
+def stirred(x: np.ndarray) -> np.ndarray:
+    """64 bits stirred so that each depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def left_out(letters: np.ndarray, cut: int) -> list[np.ndarray]:
+    """What is left of each row of letters (a byte each, eight at most) with ``cut`` of them left out, for each choice, as numbers:
+    grams with gaps."""
+    size = letters.shape[1]
+    out = []
+    for gone in combinations(range(size), cut):
+        code = np.full(len(letters), cut, np.uint64)
+        for i in range(size):
+            if i not in gone:
+                code = code << np.uint64(8) | letters[:, i]
+        out.append(code)
+    return out
+
+
+def ends_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first eight and the last eight letters of each word, a byte each (other letters than Latin ones share bytes), and its length."""
+    raw = [w.encode("ascii") if w.isascii() else bytes(ord(c) % 251 + 1 for c in w) for w in words]
+    first = np.frombuffer(b"".join(w[:8].ljust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
+    last = np.frombuffer(b"".join(w[-8:].rjust(8, b"\0") for w in raw), np.uint8).reshape(-1, 8)
+    return first.astype(np.uint64), last.astype(np.uint64), np.array([len(w) for w in raw])
+
+
+def gapped_grams(words: list[str], size: np.ndarray, edits: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``rows, numbers``: the gapped grams of words: words of under four letters bear no edit, of under eight one, others ``edits``. Words that so many edits part, two neighbours changing places being one, share one: of the first letters with
+    one left out, or of the first and last letters, ``size`` together, with ``edits`` left out. An edit changes one of the two ends,
+    unless it swaps letters across the middle of an eight-letter word, which therefore has the grams of the swapped word too."""
+    if not words:
+        return
+    first, last, n = ends_of(words)
+    tiny = np.nonzero(n < 4)[0]
+    yield tiny, left_out(first[tiny], 0)[0]
+    for k in range(3, 9):
+        if k <= 6:
+            at = np.nonzero((n >= 4) & (n <= 8) & (np.minimum(size, 6) == k))[0]
+            for code in left_out(first[at][:, :k], 1):
+                yield at, code
+        at = np.nonzero((n >= 8) & (np.minimum(size, 8) == k))[0]
+        ends = np.hstack([first[at][:, : (k + 1) // 2], last[at][:, 8 - k // 2 :]])
+        for code in left_out(ends, edits):
+            yield at, code
+        if k == 8:
+            swapped = n[at] == 8
+            for code in left_out(ends[swapped][:, [0, 1, 2, 4, 3, 5, 6, 7]], edits):
+                yield at[swapped], code
+
+
+def _index(words: DataFrame, edits: int) -> DataFrame:
+    """``entry, block, text, n``: the words of ``block, text, n, size`` under each of their gapped grams, by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = list(gapped_grams(b.column("text").to_pylist(), b.column("size").to_numpy(), edits))
+            rows = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in got]])
+            codes = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in got]])
+            block = stirred(b.column("key").to_numpy().view(np.uint64))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(stirred(stirred(codes) ^ block[rows]).view(np.int64)), *[b.column(c).take(at) for c in ("block", "text", "n")]], ["entry", "block", "text", "n"])
+
+    ship(words.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+    return words.select("block", "text", "n", "size", F.xxhash64("block").alias("key")).mapInArrow(run, f"entry bigint, block {kinds['block']}, text string, n {kinds['n']}")
+
+
+def similar(vocabulary: DataFrame, threshold: float, edits: int = 1, slips: float = 0.1) -> DataFrame:
     """``block, text, to, cos, to_n``: for each spelling of a vocabulary ``block, text, n`` the spellings of its block that are more
     frequent (of equal ones the first in order), whose weighted grams have a cosine of at least ``threshold`` with its own,
-    and that ``edits`` edits reach (one in texts of under eight letters). Where one letter stands for another, as in the names of
-    two places (Millerton, Hillerton), the rarer must not be more frequent than slips are: with the other's count m,
-    at most ``slips`` x m, and three standard deviations and one more.
+    and that ``edits`` edits reach (one or two; one in texts of under eight letters, none under four). Where one letter
+    stands for another, as in the names of two places (Millerton, Hillerton), the rarer must not be more frequent than slips
+    are: with the other's count m, at most ``slips`` x m, and three standard deviations and one more.
 
-    Candidates meet in an inverted index of the prefixes by block and gram, whatever their counts; no pair over the threshold
-    fails to. The edits are tested in the join, so that the vectors are only fetched for what is left of it."""
+    Candidates meet in an inverted index of gapped grams by block, whatever their counts; no pair within the edits fails to. The
+    grams are the longer the more spellings a block has, so that those that meet by chance stay about as many. The
+    edits are tested in the join, so that the vectors are only fetched for what is left of it."""
     words = vocabulary.filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    v = materialize(vectors(weighted(words.select("text").distinct(), "text"), threshold), "spelling-vectors")
-    index = words.join(v.select("text", "prefix"), "text").select("block", "text", "n", F.explode("prefix").alias("gram"))
-    index = spread(index, "block", "gram")
-    a, b = (index.select("block", "gram", F.col("n").alias(f"{s}_n"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    sizes = words.groupBy("block").agg(F.greatest(F.ceil(F.log(8.0, F.count("*"))) + 2, F.lit(3)).cast("bigint").alias("size"))
+    index = spread(_index(spread(words.join(sizes, "block"), "text"), edits), "entry")
+    a, b = (index.select("entry", "block", F.col("n").alias(f"{s}_n"), F.col("text").alias(f"{s}_text")) for s in "ab")
     up = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_text") > F.col("b_text")))
     room = F.when(F.least(F.length("a_text"), F.length("b_text")) < 8, 1).otherwise(edits)
     near = (F.abs(F.length("a_text") - F.length("b_text")) <= edits) & (F.levenshtein("a_text", "b_text", 2 * edits) >= 0)
-    met = a.join(b, ["block", "gram"]).filter(up & near).select("block", "a_text", "b_text", "a_n", "b_n").distinct()
+    met = a.join(b, ["entry", "block"]).filter(up & near).select("block", "a_text", "b_text", "a_n", "b_n").distinct()
     as_long = F.length("a_text") == F.length("b_text")
     swapped = F.array_sort(F.split("a_text", "")) == F.array_sort(F.split("b_text", ""))
     met = met.filter(~as_long | swapped | (F.col("a_n") <= 1 + slips * F.col("b_n") + 3 * F.sqrt(slips * F.col("b_n"))))
     met = met.filter(one_edit_apart(F.col("a_text"), F.col("b_text"), room, 2 * edits))
+    v = materialize(vectors(weighted(words.select("text").distinct(), "text")), "spelling-vectors")
     side = lambda s: v.select(F.col("text").alias(f"{s}_text"), *[F.col(c).alias(f"{s}_{c}") for c in ("grams", "squares", "norm")])
     near = spread(met.join(side("a"), "a_text"), "b_text").join(side("b"), "b_text").withColumn("cos", cosine("a", "b"))
     return near.filter(F.col("cos") >= threshold).select("block", F.col("a_text").alias("text"), F.col("b_text").alias("to"), "cos", F.col("b_n").alias("to_n"))
