@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -57,28 +58,47 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    """A folder of this application's own: others may share the folder at the same time."""
+    return f"{scratch_dir(spark)}/placeweave-scratch/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut, the rows are computed once (an
     eager ``checkpoint()`` computes its last stage twice), and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/placeweave-scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` once all that is read from them has been written itself."""
+    for t in tables:
+        if (known := _PATHS.pop(id(t), None)) is not None:
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(known[1])
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete everything ``materialize`` wrote; call it when no result that depends on it is still to be read."""
+    """Delete everything this application's ``materialize`` wrote; call it when no result that depends on it is still to be read."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/placeweave-scratch")
+    path = jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)
+    _PATHS.clear()
 
 
-def small_side(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
-    """``df``, written once, as the side of a join: marked for broadcast if it has at most ``most`` rows, which are counted;
-    otherwise left to a shuffled join. For narrow tables, so that the rows bound the bytes."""
+def small_side(df: DataFrame, name: str, most: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, written once, as the side of a join: marked for broadcast if it has at most ``most`` rows, which are counted, and
+    at most ``most_bytes`` of text beside 16 bytes a column; otherwise left to a shuffled join."""
     from pyspark.sql import functions as F
 
     written = materialize(df, name)
-    return F.broadcast(written) if written.count() <= most else written
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in written.schema if f.dataType.simpleString() == "string"]
+    rows, size = written.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(16 * len(written.columns)))), F.lit(0))).first()
+    return F.broadcast(written) if rows <= most and size <= most_bytes else written
