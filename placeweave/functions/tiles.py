@@ -28,12 +28,17 @@ def tile(lat: Column, lon: Column, precision: int) -> Column:
     return tile_id(*tile_xy(lat, lon, precision), precision)
 
 
-def tile_and_neighbors(lat: Column, lon: Column, precision: int) -> Column:
-    """The tile and the up to eight around it: x wraps, rows beyond a pole do not exist."""
+def around(tile: Column, precision: int) -> Column:
+    """A tile and the up to eight around it: x wraps, rows beyond a pole do not exist."""
     xb, yb = bits(precision)
-    x, y = tile_xy(lat, lon, precision)
-    around = [F.when((y + dy).between(0, 2**yb - 1), tile_id(F.pmod(x + dx, F.lit(2**xb)), y + dy, precision)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    return F.array_distinct(F.array_compact(F.array(*around)))
+    x, y = F.shiftright(tile, yb), F.pmod(tile, F.lit(2**yb))
+    near = [F.when((y + dy).between(0, 2**yb - 1), tile_id(F.pmod(x + dx, F.lit(2**xb)), y + dy, precision)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    return F.array_distinct(F.array_compact(F.array(*near)))
+
+
+def tile_and_neighbors(lat: Column, lon: Column, precision: int) -> Column:
+    """The tiles of :func:`around` for a location."""
+    return around(tile(lat, lon, precision), precision)
 
 
 def geohash(lat: Column, lon: Column, precision: int) -> Column:

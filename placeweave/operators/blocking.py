@@ -12,18 +12,43 @@ from placeweave.session import materialize
 from placeweave.sources.records import number_variants
 
 
-def _parts(config: DedupeConfig) -> Column:
-    """The name and address part of the keys of a record, without its place."""
-    own = F.filter(tokens(F.col("house")), lambda w: ~w.isin(OPTIONAL_WORDS))
-    name = F.get(F.when(F.size(own) > 0, own).otherwise(tokens(F.col("house"))), 0)
+#: Streets of so many letters may differ by one edit (the verdict's own bound).
+FUZZY_LETTERS = 8
+
+
+def _address_parts(config: DedupeConfig, around: bool, fuzzy: bool) -> Column:
+    """The keys of house number and street; with ``fuzzy`` those of streets one edit apart too, for streets without digits.
+
+    One edit leaves one half of a street as it was. On the side that has the tiles around it a street has its two halves as keys,
+    with its length; on the other it asks for the halves that streets of its length, one less and one more would share."""
     number, street = house_key(F.col("house_number")), joined(F.col("road"))
-    address = F.when(number.isNotNull() & street.isNotNull(), F.concat_ws("|", F.lit("ao"), number, street)).when(number.isNotNull(), F.concat_ws("|", F.lit("an"), number)).when(street.isNotNull(), F.concat_ws("|", F.lit("as"), street))
+    exact = F.when(number.isNotNull() & street.isNotNull(), F.concat_ws("|", F.lit("ao"), number, street)).when(number.isNotNull(), F.concat_ws("|", F.lit("an"), number)).when(street.isNotNull(), F.concat_ws("|", F.lit("as"), street))
+    if not fuzzy:
+        return F.array(exact)
+    n = F.length(street)
+
+    def half(length: Column, first: bool) -> Column:
+        cut = F.floor(length / 2).cast("int")
+        text = F.substr(street, F.lit(1), cut) if first else F.substr(street, n - (length - cut) + 1, length - cut)
+        return F.concat_ws("|", F.lit("af"), F.coalesce(number, F.lit("")), length.cast("string"), F.lit("1" if first else "2"), text)
+
+    keys = [half(n + d, first) for d in ((0,) if around else (-1, 0, 1)) for first in (True, False)]
+    halves = F.when((n >= FUZZY_LETTERS) & ~street.rlike("[0-9]"), F.array(*keys))
+    return F.concat(F.array(exact), F.coalesce(halves, F.array().cast("array<string>")))
+
+
+def _parts(config: DedupeConfig, around: bool, fuzzy: bool) -> Column:
+    """The name and address part of the keys of a record, without its place."""
     if config.address_only or config.address_only_candidates:
-        return F.array(address)
+        return _address_parts(config, around, fuzzy)
+    own = F.filter(tokens(F.col("house")), lambda w: ~w.isin(OPTIONAL_WORDS))
+    names = F.array_distinct(F.when(F.size(own) > 0, own).otherwise(tokens(F.col("house"))))
     if config.name_only:
-        return F.array(F.concat(F.lit("no|"), name))
+        # Names meet on any of their words, and on words that one letter left out makes equal.
+        shorter = F.flatten(F.transform(names, lambda w: F.when(F.length(w) >= 6, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.lit("nf|"), F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))))
+        return F.concat(F.transform(names, lambda w: F.concat(F.lit("no|"), w)), F.transform(names, lambda w: F.concat(F.lit("nf|"), w)), F.array_distinct(shorter)) if fuzzy else F.transform(names, lambda w: F.concat(F.lit("no|"), w))
     # Whatever the order and the spelling of their words, names at one address meet, and the verdict on names decides.
-    return F.array(F.when(name.isNotNull(), address))
+    return F.when(F.size(names) > 0, _address_parts(config, around, fuzzy))
 
 
 def _places(config: DedupeConfig, around: bool) -> Column:
@@ -47,10 +72,11 @@ def _places(config: DedupeConfig, around: bool) -> Column:
     return F.array_compact(F.flatten(F.array_compact(F.array(*out)))) if out else F.array(F.lit(""))
 
 
-def block_keys(recs: DataFrame, config: DedupeConfig, around: bool = False) -> DataFrame:
+def block_keys(recs: DataFrame, config: DedupeConfig, around: bool = False, fuzzy: bool = False) -> DataFrame:
     """``block_key, uid``, distinct. A record without text, or without any place, has no key; a record with a base house
-    number has keys for both numbers. ``around`` adds the tiles around its own."""
-    parts = number_variants(recs).select("uid", F.array_compact(_parts(config)).alias("parts"), _places(config, around).alias("places"))
+    number has keys for both numbers. ``around`` adds the tiles around its own; ``fuzzy`` adds keys under which
+    spellings one edit apart meet, if one side has ``around`` and the other has not."""
+    parts = number_variants(recs).select("uid", F.array_compact(_parts(config, around, fuzzy)).alias("parts"), _places(config, around).alias("places"))
     keys = parts.select("uid", F.explode("parts").alias("part"), "places").select("uid", "part", F.explode("places").alias("place"))
     return keys.select(F.concat_ws("@", "part", "place").alias("block_key"), "uid").distinct()
 
@@ -65,14 +91,16 @@ def candidate_pairs(recs: DataFrame, config: DedupeConfig) -> DataFrame:
 
     An equi-join on the key with the order as residual condition; a hot key is split by adaptive execution. The number of
     pairs of a block is quadratic by definition of the operator; :func:`block_sizes` shows which keys are too coarse."""
-    a, b = block_keys(recs, config).alias("a"), block_keys(recs, config, around=True).alias("b")
+    fuzzy = config.fuzzy_street_names
+    a, b = block_keys(recs, config, fuzzy=fuzzy).alias("a"), block_keys(recs, config, around=True, fuzzy=fuzzy).alias("b")
     return a.join(b, (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.uid") > F.col("b.uid"))).select(F.col("a.uid").alias("uid1"), F.col("b.uid").alias("uid2")).distinct()
 
 
 def link_pairs(canonical: DataFrame, to_match: DataFrame, config: DedupeConfig) -> DataFrame:
     """``uid1`` of ``to_match`` with ``uid2`` of ``canonical`` where they share a key."""
-    a = block_keys(to_match, config).withColumnRenamed("uid", "uid1")
-    b = block_keys(canonical, config, around=True).withColumnRenamed("uid", "uid2")
+    fuzzy = config.fuzzy_street_names
+    a = block_keys(to_match, config, fuzzy=fuzzy).withColumnRenamed("uid", "uid1")
+    b = block_keys(canonical, config, around=True, fuzzy=fuzzy).withColumnRenamed("uid", "uid2")
     return a.join(b, "block_key").select("uid1", "uid2").distinct()
 
 

@@ -56,10 +56,13 @@ def cooccurrences(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def _gain(pairs: DataFrame, frequencies: DataFrame, keys: list[str]) -> DataFrame:
-    """``*keys, word, gain`` from co-occurrences and from frequencies ``*keys, word, df, p``."""
-    share = F.col("n") / F.sum("n").over(W.partitionBy(*keys, "word"))
-    p = pairs.withColumn("share", share).join(frequencies.select(*keys, F.col("word").alias("other"), "p"), [*keys, "other"])
-    gained = p.groupBy(*keys, "word").agg(F.greatest(F.sum(F.col("share") * F.log2(F.col("share") / F.col("p"))), F.lit(0.0)).alias("gain"))
+    """``*keys, word, gain`` from co-occurrences and from frequencies ``*keys, word, df, p``.
+
+    With t documents shared in all, the sum over n/t x log2(n/t / p) is that of n x log2(n/p), less that of n times log2(t), over t:
+    sums that are combined before their shuffle, so that a word beside all others is no task of its own."""
+    met = pairs.join(frequencies.select(*keys, F.col("word").alias("other"), "p"), [*keys, "other"], "left")
+    sums = met.groupBy(*keys, "word").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("p").isNotNull(), F.col("n"))).alias("m"), F.sum(F.col("n") * F.log2(F.col("n") / F.col("p"))).alias("s"))
+    gained = sums.filter("m IS NOT NULL").select(*keys, "word", F.greatest((F.col("s") - F.col("m") * F.log2("t")) / F.col("t"), F.lit(0.0)).alias("gain"))
     return frequencies.join(gained, [*keys, "word"], "left").select(*keys, "word", F.coalesce("gain", F.log2(1 / F.col("p"))).alias("gain"))
 
 
@@ -88,7 +91,10 @@ def tfidf_scores(docs: DataFrame, min_count: int = 1, frequencies: DataFrame | N
 
 def docs_by_tile(docs: DataFrame, precision: int = 4) -> DataFrame:
     """``geo, num_docs``: documents with a location, counted in their tile and those around it."""
-    return docs.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.explode(tile_and_neighbors(F.col("lat"), F.col("lon"), precision)).alias("geo")).groupBy("geo").agg(F.count("*").alias("num_docs"))
+    from placeweave.functions.tiles import around
+
+    own = docs.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy(tile(F.col("lat"), F.col("lon"), precision).alias("tile")).agg(F.count("*").alias("num_docs"))
+    return own.select(F.explode(around(F.col("tile"), precision)).alias("geo"), "num_docs").groupBy("geo").agg(F.sum("num_docs").alias("num_docs"))
 
 
 def tile_aliases(by_tile: DataFrame, min_docs: int = 1000, precision: int = 4) -> DataFrame:
@@ -110,16 +116,29 @@ def folded_tiles(by_tile: DataFrame, aliases: DataFrame) -> DataFrame:
     return by_tile.join(aliases, "geo", "left").groupBy(F.coalesce("alias", "geo").alias("geo")).agg(F.sum("num_docs").alias("num_docs"))
 
 
-def _in_tiles(docs: DataFrame, aliases: DataFrame, precision: int) -> DataFrame:
-    """Documents in each of their nine tiles, aliases put in."""
-    at = docs.filter("lat IS NOT NULL AND lon IS NOT NULL").select("uid", "tokens", F.explode(tile_and_neighbors(F.col("lat"), F.col("lon"), precision)).alias("geo"))
-    return at.join(aliases, "geo", "left").withColumn("geo", F.coalesce("alias", "geo")).drop("alias")
+def _spread_over_tiles(counts: DataFrame, aliases: DataFrame, precision: int, keys: list[str], value: str) -> DataFrame:
+    """``geo, *keys, value``: counts by own ``tile``, added up over the tile and those around it, aliases put in. Documents of one
+    tile lie in the same nine, so they are counted once before their counts, not they themselves, are multiplied."""
+    from placeweave.functions.tiles import around
+
+    reached = counts.select("tile").distinct().select("tile", F.explode(around(F.col("tile"), precision)).alias("geo"))
+    reached = reached.join(aliases, "geo", "left").select("tile", F.coalesce("alias", "geo").alias("geo"))
+    return counts.join(reached, "tile").groupBy("geo", *keys).agg(F.sum(value).alias(value))
+
+
+def _by_tile(docs: DataFrame, precision: int) -> DataFrame:
+    return docs.filter("lat IS NOT NULL AND lon IS NOT NULL").select("tokens", tile(F.col("lat"), F.col("lon"), precision).alias("tile"))
 
 
 def geo_frequency(docs: DataFrame, aliases: DataFrame, precision: int = 4) -> DataFrame:
     """``geo, word, df``."""
-    at = _in_tiles(docs, aliases, precision)
-    return at.select("geo", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("geo", "word").agg(F.count("*").alias("df"))
+    own = _by_tile(docs, precision).select("tile", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("tile", "word").agg(F.count("*").alias("df"))
+    return _spread_over_tiles(own, aliases, precision, ["word"], "df")
+
+
+def geo_cooccurrences(docs: DataFrame, aliases: DataFrame, precision: int = 4) -> DataFrame:
+    """``geo, word, other, n``."""
+    return _spread_over_tiles(cooccurrences(_by_tile(docs, precision), "tile"), aliases, precision, ["word", "other"], "n")
 
 
 def _tiles(docs: DataFrame, min_docs: int, precision: int) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +158,7 @@ def geo_info_gain(docs: DataFrame, min_docs: int = 1000, precision: int = 4, min
     """``geo, word, gain``."""
     by_tile, aliases = tiles or _tiles(docs, min_docs, precision)
     freq = with_min_count(geo_frequency(docs, aliases, precision), min_count).join(folded_tiles(by_tile, aliases), "geo").withColumn("p", F.col("df") / F.col("num_docs"))
-    return _gain(cooccurrences(_in_tiles(docs, aliases, precision), "geo"), freq.select("geo", "word", "df", "p"), ["geo"])
+    return _gain(geo_cooccurrences(docs, aliases, precision), freq.select("geo", "word", "df", "p"), ["geo"])
 
 
 def own_tile(docs: DataFrame, aliases: DataFrame, precision: int = 4) -> DataFrame:

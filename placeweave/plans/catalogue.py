@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from placeweave.functions.vectors import multiset_jaccard
 from placeweave.operators import blocking, classify, responses
 from placeweave.operators import word_index as wi
 from placeweave.plans import pipelines
-from placeweave.session import materialize
-from placeweave.sources.geojson import with_guid
+from placeweave.session import materialize, own_scratch, ship
+from placeweave.sources.geojson import read_any, with_guid
 from placeweave.sources.records import records
 from placeweave.sources.tables import latest_delivery, table
 
@@ -54,6 +55,12 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", *_TEXT, base.alias("house_number_base"), *absent, F.when(both, F.col("lat")).alias("lat"), F.when(both, F.col("lon")).alias("lon"))
 
 
+def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One canonical record per Feature: venues told by several feeds, hence with duplicates. The base number as in :func:`places`."""
+    base = F.nullif(F.regexp_extract("house_number", r"^([0-9]+)\s*-?\s*[A-Za-z]$", 1), F.lit(""))
+    return records(_features(spark, sf_dir)).withColumn("house_number_base", base)
+
+
 def _sql_tokens(x: str) -> str:
     pairs = ", ".join(f"'{k}': '{v}'" for k, v in EXPANSIONS.items())
     folded = f"replace(replace(replace(translate(lower({x}), '{_MARKED}', '{_PLAIN}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
@@ -70,6 +77,11 @@ REC = f"""
 r0 AS (SELECT uid, arg_max(struct_pack({', '.join(f'{c} := {c}' for c in _TEXT)}, lat := {_LAT}, lon := {_LON}), loaded_at) AS s FROM places WHERE uid IS NOT NULL GROUP BY uid),
 rec AS (SELECT uid, {', '.join(f's.{c} AS {c}' for c in _TEXT)}, nullif(regexp_extract(s.house_number, '^([0-9]+)[A-Za-z]$', 1), '') AS house_number_base,
   CASE WHEN s.lon IS NOT NULL THEN s.lat END AS lat, CASE WHEN s.lat IS NOT NULL THEN s.lon END AS lon FROM r0)"""
+_ALIASED = {"house": ("house", "name", "wof:name", "addr:housename"), "house_number": ("house_number", "addr:housenumber", "addr:house_number", "housenumber"), "road": ("addr:street", "street"), "unit": ("unit", "addr:unit"), "floor": ("floor", "addr:floor", "addr:level", "level"), "city": ("city", "addr:city", "is_in:city"), "postcode": ("postcode", "addr:postcode"), "phone": ("phone", "telephone")}
+FREC = f"""
+f0 AS (SELECT uid, arg_max(struct_pack(p := properties, g := geometry), loaded_at) AS s FROM features WHERE uid IS NOT NULL GROUP BY uid),
+f1 AS (SELECT uid, {', '.join(f"coalesce({', '.join(f"s.p['{a}']" for a in names)}) AS {c}" for c, names in _ALIASED.items())}, NULL::VARCHAR AS country, s.g.coordinates[2] AS lat, s.g.coordinates[1] AS lon FROM f0),
+rec AS (SELECT * REPLACE (CASE WHEN ({_LON}) IS NOT NULL THEN {_LAT} END AS lat, CASE WHEN ({_LAT}) IS NOT NULL THEN {_LON} END AS lon), nullif(regexp_extract(house_number, '^([0-9]+)\\s*-?\\s*[A-Za-z]$', 1), '') AS house_number_base FROM f1)"""
 DOCS = REC + f""",
 docs AS (SELECT uid, {_sql_tokens('house')} AS tokens, lat, lon FROM rec),
 tok AS (SELECT uid, unnest(range(len(tokens)))::INTEGER AS pos, unnest(tokens) AS word FROM docs),
@@ -106,13 +118,19 @@ gdf AS (SELECT geo, word, count(*) AS df FROM (SELECT geo, unnest(list_distinct(
 _HOUSE = "nullif(regexp_extract(lower({0}), '([0-9]+)\\s*-?\\s*([a-z]?)', 1) || regexp_extract(lower({0}), '([0-9]+)\\s*-?\\s*([a-z]?)', 2), '')"
 _JOINED = "nullif(array_to_string(" + _sql_tokens("{0}").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}") + ", ''), '')"
 _PART = "CASE WHEN num IS NOT NULL AND street IS NOT NULL THEN 'ao|' || num || '|' || street WHEN num IS NOT NULL THEN 'an|' || num WHEN street IS NOT NULL THEN 'as|' || street END"
-KEYS = REC + f""",
+KEYS = FREC + f""",
 var AS (SELECT DISTINCT uid, num FROM (SELECT uid, house_number AS num FROM rec WHERE house_number IS NOT NULL UNION ALL SELECT uid, house_number_base FROM rec WHERE house_number_base IS NOT NULL UNION ALL SELECT uid, NULL FROM rec WHERE house_number IS NULL AND house_number_base IS NULL)),
 prt AS (SELECT uid, {_PART} AS part, lat, lon FROM (SELECT v.uid, {_HOUSE.format('v.num')} AS num, {_JOINED.format('road')} AS street, lat, lon FROM var v JOIN rec USING (uid))),
 kxy AS (SELECT DISTINCT uid, part, {_xy(6)} FROM prt WHERE part IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL),
 own AS (SELECT uid, part, x * 32768 + y AS geo FROM kxy),
-kall AS (SELECT DISTINCT uid, part, geo FROM ({_around(6, 'kxy')}))"""
-PAIRS = KEYS + ",\npairs AS (SELECT DISTINCT a.uid AS uid1, b.uid AS uid2 FROM own a JOIN kall b ON a.part = b.part AND a.geo = b.geo AND a.uid > b.uid)"
+kall AS (SELECT DISTINCT uid, part, geo FROM ({_around(6, 'kxy')})),
+fst AS (SELECT v.uid, coalesce({_HOUSE.format('v.num')}, '') AS num, {_JOINED.format('road')} AS street, {_xy(6)} FROM var v JOIN rec USING (uid) WHERE lat IS NOT NULL AND lon IS NOT NULL),
+fz AS (SELECT *, length(street) AS n FROM fst WHERE length(street) >= 8 AND NOT regexp_matches(street, '[0-9]')),
+fask AS (SELECT DISTINCT uid, num || '|' || (n + d) || '|' || h || '|' || CASE h WHEN 1 THEN substr(street, 1, (n + d) // 2) ELSE substr(street, n - (n + d - (n + d) // 2) + 1) END AS part, x * 32768 + y AS geo FROM fz, (VALUES (-1), (0), (1)) e(d), (VALUES (1), (2)) g(h)),
+fcell AS (SELECT DISTINCT uid, num || '|' || n || '|' || h || '|' || CASE h WHEN 1 THEN substr(street, 1, n // 2) ELSE substr(street, n // 2 + 1) END AS part, x, y FROM fz, (VALUES (1), (2)) g(h)),
+fall AS (SELECT DISTINCT uid, part, geo FROM ({_around(6, 'fcell')}))"""
+_MEET = "SELECT a.uid AS uid1, b.uid AS uid2 FROM own a JOIN kall b ON a.part = b.part AND a.geo = b.geo AND {0} UNION SELECT a.uid, b.uid FROM fask a JOIN fall b ON a.part = b.part AND a.geo = b.geo AND {0}"
+PAIRS = KEYS + ",\npairs AS (" + _MEET.format("a.uid > b.uid") + ")"
 
 
 def _street(a: str, b: str) -> str:
@@ -288,13 +306,19 @@ def q_geo_tfidf(spark, d):
     return wi.geo_tfidf_scores(docs(spark, d), TILE_DOCS).withColumn("score", F.round("score", 9))
 
 
-@query(with_(GEO + """,
-dw AS (SELECT row_number() OVER () AS k, geo, list_distinct(tokens) AS t FROM here),
-ew AS (SELECT k, geo, unnest(t) AS word FROM dw),
-co AS (SELECT a.geo, a.word, b.word AS other, count(*) AS n FROM ew a JOIN ew b ON a.k = b.k AND a.word <> b.word GROUP BY ALL),
-sh AS (SELECT geo, word, other, n / sum(n) OVER (PARTITION BY geo, word) AS share FROM co),
-mp AS (SELECT geo, word, df / num_docs AS p FROM gdf JOIN fold USING (geo)),
-g AS (SELECT sh.geo, sh.word, greatest(sum(share * log2(share / p)), 0) AS gain FROM sh JOIN mp ON sh.other = mp.word AND sh.geo = mp.geo GROUP BY ALL)""", "SELECT mp.geo, mp.word, round(coalesce(gain, log2(1 / p)), 6) AS gain FROM mp LEFT JOIN g ON g.geo = mp.geo AND g.word = mp.word"))
+GEO_GAIN = GEO + f""",
+reach AS (SELECT x * 1024 + y AS tile, coalesce(alias, r.geo) AS geo FROM ({_around(4, '(SELECT DISTINCT x, y FROM xy)')}) r LEFT JOIN al ON al.geo = r.geo),
+dw AS (SELECT row_number() OVER () AS k, x * 1024 + y AS tile, list_distinct(tokens) AS t FROM xy),
+ew AS (SELECT k, tile, unnest(t) AS word FROM dw),
+co0 AS (SELECT a.tile, a.word, b.word AS other, count(*) AS n FROM ew a JOIN ew b ON a.k = b.k AND a.word <> b.word GROUP BY ALL),
+gco AS (SELECT geo, word, other, sum(n) AS n FROM co0 JOIN reach USING (tile) GROUP BY ALL),
+gsh AS (SELECT geo, word, other, n / sum(n) OVER (PARTITION BY geo, word) AS share FROM gco),
+gmp AS (SELECT geo, word, df / num_docs AS p FROM gdf JOIN fold USING (geo)),
+gg AS (SELECT gsh.geo, gsh.word, greatest(sum(share * log2(share / p)), 0) AS gain FROM gsh JOIN gmp ON gsh.other = gmp.word AND gsh.geo = gmp.geo GROUP BY ALL),
+ggain AS (SELECT gmp.geo, gmp.word, coalesce(gain, log2(1 / p)) AS gain FROM gmp LEFT JOIN gg ON gg.geo = gmp.geo AND gg.word = gmp.word)"""
+
+
+@query(with_(GEO_GAIN, "SELECT geo, word, round(gain, 6) AS gain FROM ggain"))
 def q_geo_info_gain(spark, d):
     return wi.geo_info_gain(docs(spark, d), TILE_DOCS).withColumn("gain", F.round("gain", 6))
 
@@ -302,17 +326,17 @@ def q_geo_info_gain(spark, d):
 # --- blocking ---------------------------------------------------------------------------------------------------------
 @query(with_(KEYS, "SELECT part || '@g' || geo AS block_key, count(*) AS size FROM own GROUP BY ALL HAVING count(*) > 1"))
 def q_block_sizes(spark, d):
-    return blocking.block_sizes(blocking.block_keys(places(spark, d), ADDRESS))
+    return blocking.block_sizes(blocking.block_keys(venues(spark, d), ADDRESS))
 
 
 @query(with_(PAIRS, "SELECT uid1, uid2 FROM pairs"))
 def q_candidate_pairs(spark, d):
-    return blocking.candidate_pairs(places(spark, d), ADDRESS)
+    return blocking.candidate_pairs(venues(spark, d), ADDRESS)
 
 
 @query(with_(KEYS, "SELECT DISTINCT k.uid AS uid1, c.uid2 FROM kall k JOIN (SELECT part, geo, min(uid) AS uid2 FROM kall GROUP BY ALL) c USING (part, geo) WHERE k.uid > c.uid2"))
 def q_star_pass1(spark, d):
-    return blocking.star_first(blocking.block_keys(places(spark, d), ADDRESS, around=True))
+    return blocking.star_first(blocking.block_keys(venues(spark, d), ADDRESS, around=True))
 
 
 _STAR = KEYS + """,
@@ -324,8 +348,8 @@ two AS (SELECT DISTINCT greatest(l.uid, r.uid) AS uid1, least(l.uid, r.uid) AS u
 
 @query(with_(_STAR, "SELECT uid1, uid2 FROM two"))
 def q_star_pass2(spark, d):
-    recs = places(spark, d)
-    keys = blocking.block_keys(recs, ADDRESS, around=True)
+    recs = venues(spark, d)
+    keys = materialize(blocking.block_keys(recs, ADDRESS, around=True), "block-keys")
     first = pipelines.judged_addresses(blocking.star_first(keys), recs, ADDRESS)
     return blocking.star_second(keys, first)
 
@@ -337,19 +361,19 @@ _SECOND = _JUDGED[_JUDGED.index("\nv AS") :].replace("\nv AS", "\nv2 AS").replac
 def q_star_pairs(spark, d):
     from dataclasses import replace
 
-    return pipelines.dedupe_addresses(places(spark, d), replace(ADDRESS, pairing="star"))
+    return pipelines.dedupe_addresses(venues(spark, d), replace(ADDRESS, pairing="star"))
 
 
-@query(with_(KEYS + ",\npairs AS (SELECT DISTINCT a.uid AS uid1, b.uid AS uid2 FROM own a JOIN kall b ON a.part = b.part AND a.geo = b.geo AND a.uid % 2 <> 0 AND b.uid % 2 = 0)" + _JUDGED, "SELECT uid1, uid2, status, sim FROM judged"))
+@query(with_(KEYS + ",\npairs AS (" + _MEET.format("a.uid % 2 <> 0 AND b.uid % 2 = 0") + ")" + _JUDGED, "SELECT uid1, uid2, status, sim FROM judged"))
 def q_link_match(spark, d):
     """Two data sets: the records of even and of odd uid."""
-    recs = places(spark, d)
+    recs = venues(spark, d)
     return pipelines.match(recs.filter("uid % 2 = 0"), recs.filter("uid % 2 <> 0"), ADDRESS)
 
 
 # --- classification ---------------------------------------------------------------------------------------------------
 def _pairs(spark, d, *fields: str) -> DataFrame:
-    recs = places(spark, d)
+    recs = venues(spark, d)
     return blocking.join_pairs(blocking.candidate_pairs(recs, ADDRESS), recs.select("uid", *fields))
 
 
@@ -410,8 +434,9 @@ soft AS (SELECT uid1, uid2, sum(CASE WHEN jw >= 0.95 THEN jw * w ELSE 0 END) AS
 
 @query(with_(_SOFT, "SELECT uid1, uid2, round(sim, 6) AS sim FROM soft"))
 def q_soft_tfidf(spark, d):
-    recs = places(spark, d)
-    x = docs(spark, d).filter(F.size("tokens") > 0)
+    ship(spark)
+    recs = venues(spark, d)
+    x = pipelines.name_docs(recs).filter(F.size("tokens") > 0)
     both = blocking.join_pairs(blocking.candidate_pairs(recs, ADDRESS), wi.scored_docs(x, wi.tfidf_scores(x)))
     return both.select("uid1", "uid2", F.round(soft_tfidf()("tokens1", "scores1", "tokens2", "scores2"), 6).alias("sim"))
 
@@ -421,7 +446,7 @@ def q_geo_blend(spark, d):
     """Names by the model of their tile and the global one, blended."""
     from dataclasses import replace
 
-    recs = places(spark, d).filter(F.trim("house") != "")
+    recs = venues(spark, d).filter(F.trim("house") != "")
     config = replace(NAMES, geo_model=True, min_tile_docs=TILE_DOCS)
     pairs = materialize(blocking.candidate_pairs(recs, ADDRESS), "candidates")
     sims = pipelines.name_similarity(pairs, recs, config)
@@ -459,33 +484,33 @@ def q_exact_dupes(spark, d):
 # --- pipelines --------------------------------------------------------------------------------------------------------
 @query(with_(JUDGED, "SELECT uid1, uid2, status, sim FROM judged"))
 def q_dedupe_addresses(spark, d):
-    return pipelines.dedupe_addresses(places(spark, d), ADDRESS)
+    return pipelines.dedupe_addresses(venues(spark, d), ADDRESS)
 
 
 @query(with_(DUPES, "SELECT uid FROM rec WHERE uid NOT IN (SELECT uid FROM dup)"))
 def q_unique(spark, d):
-    return pipelines.unique(places(spark, d), ADDRESS).select("uid")
+    return pipelines.unique(venues(spark, d), ADDRESS).select("uid")
 
 
 @query(with_(DUPES, "SELECT uid FROM can"))
 def q_canonical_flags(spark, d):
-    return responses.canonicals(pipelines.dedupe_addresses(places(spark, d), ADDRESS))
+    return responses.canonicals(pipelines.dedupe_addresses(venues(spark, d), ADDRESS))
 
 
 @query(with_(JUDGED, "SELECT uid1, max(struct_pack(status := status, sim := sim, o := -uid2)).status AS status, max(struct_pack(status := status, sim := sim, o := -uid2)).sim AS sim, -max(struct_pack(status := status, sim := sim, o := -uid2)).o AS uid2 FROM judged GROUP BY uid1"))
 def q_best_dupe(spark, d):
-    return responses.best_match(pipelines.dedupe_addresses(places(spark, d), ADDRESS))
+    return responses.best_match(pipelines.dedupe_addresses(venues(spark, d), ADDRESS))
 
 
 @query(with_(DUPES, "SELECT uid1, uid2, CASE status WHEN 3 THEN 'exact_dupe' WHEN 2 THEN 'likely_dupe' WHEN 1 THEN 'needs_review' END AS classification, least(sim, 1.0) AS similarity, uid2 IN (SELECT uid FROM can) AS is_canonical, status >= 2 AS is_sure FROM judged"))
 def q_responses(spark, d):
     """What the responses list, flat."""
-    return responses.response_lists(materialize(pipelines.dedupe_addresses(places(spark, d), ADDRESS), "pairs"))
+    return responses.response_lists(materialize(pipelines.dedupe_addresses(venues(spark, d), ADDRESS), "pairs"))
 
 
 @query(with_(DUPES, "SELECT uid FROM dup"))
 def q_dupes_only(spark, d):
-    return responses.dupes(pipelines.dedupe_addresses(places(spark, d), ADDRESS))
+    return responses.dupes(pipelines.dedupe_addresses(venues(spark, d), ADDRESS))
 
 
 _GEOCODE = REC + f""",
@@ -502,12 +527,23 @@ def q_geocode_link(spark, d):
     return pipelines.geocode(places(spark, d), replace(ADDRESS, use_zip5=True))
 
 
+@query("""WITH u AS (SELECT uid, arg_max(struct_pack(p := properties, g := geometry), loaded_at) AS s FROM features WHERE uid IS NOT NULL GROUP BY uid)
+SELECT uid, s.p['name'] AS name, s.p['addr:street'] AS street, s.g.coordinates[1] AS lon, s.g.coordinates[2] AS lat FROM u""")
+def q_read_features(spark, d):
+    """The Features written as JSON lines and read again."""
+    rows = _features(spark, d).withColumn("properties", F.map_concat("properties", F.create_map(F.lit("uid"), F.col("uid").cast("string"))))
+    path = f"{own_scratch(spark)}/features-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct("type", "geometry", "properties")).alias("value")).write.text(path)
+    p = F.col("properties")
+    return read_any(spark, path).select(p["uid"].cast("bigint").alias("uid"), p["name"].alias("name"), p["addr:street"].alias("street"), F.get("geometry.coordinates", 0).alias("lon"), F.get("geometry.coordinates", 1).alias("lat"))
+
+
 @query()
 def q_dedupe_names(spark, d):
     """Names and addresses with the blended information-gain model and phones, as the options are by default."""
     from dataclasses import replace
 
-    out = pipelines.dedupe_names(places(spark, d), replace(DedupeConfig(), min_tile_docs=TILE_DOCS))
+    out = pipelines.dedupe_names(venues(spark, d), replace(DedupeConfig(), min_tile_docs=TILE_DOCS))
     return out.select("uid1", "uid2", "status", F.round("sim", 6).alias("sim"))
 
 

@@ -25,7 +25,7 @@ def p3_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.least(F.lit(14.4), 180 - F.abs(x))
     regions = table(spark, sf_dir, "nation").select("n_nationkey", F.array(vertex(-wide, 0.0), vertex(0.0, -60.0), vertex(wide, 0.0), vertex(0.0, 60.0)).alias("ring"))
     at = latest_delivery(table(spark, sf_dir, "places"), "uid", {"lat": F.col("lat"), "lon": F.col("lon")})
-    return points_in_regions(at, regions, region="n_nationkey")
+    return points_in_regions(at, regions, region="n_nationkey").withColumnRenamed("region", "n_nationkey")
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def judged_addresses(pairs: DataFrame, recs: DataFrame, config: DedupeConfig, ri
 def dedupe_addresses(recs: DataFrame, config: DedupeConfig) -> DataFrame:
     """Address mode. Star pairing judges k-1 pairs of a block before it looks at those left over."""
     if config.pairing == "star":
-        return star_pairs(block_keys(recs, config, around=True), lambda pairs: judged_addresses(pairs, recs, config))
+        # Both passes start from the keys, several times.
+        return star_pairs(materialize(block_keys(recs, config, around=True), "block-keys"), lambda pairs: judged_addresses(pairs, recs, config))
     return judged_addresses(candidate_pairs(recs, config), recs, config)
 
 

@@ -58,7 +58,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def _own_scratch(spark: SparkSession) -> str:
+def own_scratch(spark: SparkSession) -> str:
     """A folder of this application's own: others may share the folder at the same time."""
     return f"{scratch_dir(spark)}/placeweave-scratch/{spark.sparkContext.applicationId}"
 
@@ -67,7 +67,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut, the rows are computed once (an
     eager ``checkpoint()`` computes its last stage twice), and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
@@ -86,7 +86,7 @@ def discard(*tables: DataFrame) -> None:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application's ``materialize`` wrote; call it when no result that depends on it is still to be read."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path = jvm.org.apache.hadoop.fs.Path(own_scratch(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)

@@ -24,6 +24,11 @@ def test_coordinate_texts(spark):
     assert one(spark, texts, degrees) == [w if w is None else pytest.approx(w) for w in want]
 
 
+def test_coordinates_within_other_text(spark):
+    texts = ["Latitude: 40.7", "40.7 degrees", "40.7 deg N", "W74.001", "S 12", "south"]
+    assert one(spark, texts, degrees) == [40.7, 40.7, 40.7, -74.001, -12.0, None]
+
+
 def test_latitudes_and_longitudes(spark):
     assert one(spark, [90.0, -90.0, 90.5, 45.0, None, float("nan"), float("inf")], valid_latitude, "double") == [89.9999, -89.9999, None, 45.0, None, None, None]
     assert one(spark, [180.0, -180.0, 540.0, 190.0, -190.0, float("inf"), None], wrapped_longitude, "double") == [180.0, 180.0, 180.0, -170.0, 170.0, None, None]

@@ -226,3 +226,32 @@ def test_options():
 
 def test_scratch_is_the_shared_folder(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir", scratch_dir(spark))
+
+
+def test_collections_with_a_feature_on_each_line_and_ordinates_as_text(spark, tmp_path):
+    def feature(name, *at):
+        return json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": list(at)}, "properties": {"name": name}}, ensure_ascii=False)
+
+    rows = [feature("a", "74°00′21″W", "40°42′46″N"), feature("b", 7.5, 45.25)]
+    (tmp_path / "rows.geojson").write_text('{\n"type": "FeatureCollection",\n"name": "x",\n"features": [\n' + ",\n".join(rows) + "\n]\n}\n")
+    (tmp_path / "pretty.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [json.loads(r) for r in rows]}, indent=1))
+    (tmp_path / "one.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [json.loads(r) for r in rows]}))
+    (tmp_path / "lines.geojsonl").write_text("\n".join(rows))
+    paths = [str(p) for p in sorted(tmp_path.iterdir())]
+    forms = {r["path"].rsplit("/")[-1]: r["form"] for r in geojson.file_forms(spark, paths).collect()}
+    assert forms == {"rows.geojson": "rows", "pretty.geojson": "whole", "one.geojson": "whole", "lines.geojsonl": "lines"}
+    got = [(r["properties"]["name"], *r["geometry"]["coordinates"]) for r in geojson.read_any(spark, paths).collect()]
+    want = [("a", pytest.approx(-74.005833, abs=1e-5), pytest.approx(40.712777, abs=1e-5)), ("b", 7.5, 45.25)]
+    assert len(got) == 8 and all(sum(g == w for g in got) == 4 for w in want)
+    assert all(r["raw"] in rows for r in geojson.read_any(spark, [str(tmp_path / "rows.geojson")]).collect())
+
+
+def test_the_job_runs_from_its_arguments(spark, tmp_path):
+    from placeweave import job
+
+    at = {"type": "Point", "coordinates": [7.5, 45.25]}
+    lines = [json.dumps({"type": "Feature", "geometry": at, "properties": {"name": "Zubeka Bakery", "addr:street": s, "addr:housenumber": "5"}}) for s in ("Marigold Hillside", "Marigold Hilside", "Oak Road")]
+    (tmp_path / "in.geojsonl").write_text("\n".join(lines))
+    job.run(spark, [str(tmp_path / "in.geojsonl"), "-o", str(tmp_path / "out"), "--address-only"])
+    out = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(out) == 3 and sum(o["is_dupe"] for o in out) == 1
