@@ -74,9 +74,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask the JVM to let go of plans that are done with, and so of their shuffle files, which else stay on the disks until it
+    collects by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` once all that is read from them has been written itself."""
     for t in tables:
+        let_go(t.sparkSession)
         if (known := _PATHS.pop(id(t), None)) is not None:
             jvm = t.sparkSession.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(known[1])
