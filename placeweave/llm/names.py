@@ -17,7 +17,7 @@ from placeweave.llm.addresses import _MARKS, _WORD, Slips, read_city, read_postc
 from placeweave.llm.fusion import NAME_FILLERS
 from placeweave.llm.linkage import average_linkage
 from placeweave.llm.ngrams import ends_of, gapped_grams, left_out, spread, stirred
-from placeweave.session import discard, materialize, ship, small_side
+from placeweave.session import discard, let_go, materialize, ship, small_side
 
 # Short forms of first names, after the name they stand for.
 NICKNAMES = {
@@ -420,10 +420,11 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     there = nodes.withColumn("block", F.col("town")).join(asking, "block", "left_semi").withColumn("asks", asks)
     stands = here.unionByName(there).select("node", "place", "kind", *who, "block", "asks", F.xxhash64("block", "brand").alias("at"))
     stands = materialize(stands, "names-blocks")
-    brands = materialize(stands.groupBy("at", "block", "brand").agg(F.max("asks").alias("asks")), "names-brands")
+    # Written once, so their numbers stay; numbers take less room in a shuffle than hashes.
+    brands = materialize(stands.groupBy("at", "block", "brand").agg(F.max("asks").alias("asks")).withColumn("no", F.monotonically_increasing_id()), "names-brands")
     # The more brands a block has, the longer the grams: those that meet by chance stay about as many.
     sizes = brands.groupBy("block").agg(F.count("*").alias("k")).select("block", F.greatest(F.ceil(F.log(8.0, F.col("k"))) + 2, F.lit(3)).cast("bigint").alias("size"))
-    sized = spread(brands.join(sizes, "block"), "at")
+    sized = spread(brands.join(sizes, "block").select("block", "brand", "asks", "size", F.col("no").alias("at")), "at")
     side = lambda df, s: df.select("entry", *[F.col(c).alias(f"{s}_{c}") for c in ("at", "asks", "found")])
     asking, others = sized.filter("asks"), sized.filter("NOT asks")
     several = lambda df: df.filter(F.col("brand").contains(" "))
@@ -431,22 +432,26 @@ def match_names(records: DataFrame, key: str = "uid", name: str = "name", other_
     all_ = _indexed(sized, False).unionByName(_indexed(several(sized), True))
     met = side(_indexed(asking, False), "a").hint("shuffle_hash").join(side(all_, "b"), "entry").filter((F.col("a_at") != F.col("b_at")) & (F.col("b_found") | ~F.col("b_asks") | (F.col("a_at") < F.col("b_at"))))
     found = side(_indexed(several(asking), True), "a").hint("shuffle_hash").join(side(_indexed(others, False), "b"), "entry").filter(F.col("a_at") != F.col("b_at"))
-    met = met.select("a_at", "b_at", "b_asks").unionByName(found.select("a_at", "b_at", "b_asks"))
+    named = lambda end, text: brands.select(F.col("no").alias(f"{end}_no"), F.col("at").alias(f"{end}_at"), F.col("brand").alias(text))
     # A pair of which both ask is met from either side.
     turned = F.col("b_asks") & (F.col("a_at") > F.col("b_at"))
-    met = met.select(F.when(turned, F.col("b_at")).otherwise(F.col("a_at")).alias("a_at"), F.when(turned, F.col("a_at")).otherwise(F.col("b_at")).alias("b_at")).distinct()
-    named = brands.select("at", "brand")
-    met = met.join(named.select(F.col("at").alias("a_at"), F.col("brand").alias("x")), "a_at").join(named.select(F.col("at").alias("b_at"), F.col("brand").alias("y")), "b_at").filter(_near())
-    met = materialize(met, "names-met-brands")
+    once = F.when(turned, F.col("b_at")).otherwise(F.col("a_at")).alias("a_no"), F.when(turned, F.col("a_at")).otherwise(F.col("b_at")).alias("b_no")
+    near = []
+    for part in (met, found):
+        pairs = part.select(*once).distinct().join(named("a", "x"), "a_no").join(named("b", "y"), "b_no").filter(_near()).select("a_at", "b_at", "x", "y")
+        near.append(materialize(pairs, "names-met-brands"))
+        let_go(brands.sparkSession)
+    met = near[0].unionByName(near[1]).distinct()
     both_ways = F.struct(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).alias("p")
     alike = _scored(spread(met.select(both_ways).distinct().select("p.*"), "x", "y"), weights, threshold)
     met = met.withColumn("p", both_ways).select("a_at", "b_at", "p.x", "p.y").join(materialize(alike, "names-alike"), ["x", "y"]).select("a_at", "b_at", "sim", "sure")
+    # Either brand may have nodes that ask.
+    met = met.unionByName(met.select(F.col("b_at").alias("a_at"), F.col("a_at").alias("b_at"), "sim", "sure"))
     # Equal brands of a block are its nodes' own affair.
     equal = stands.select(F.col("at").alias("a_at"), F.col("at").alias("b_at"), F.lit(1.0).alias("sim"), F.lit(True).alias("sure")).distinct()
     side = lambda s: stands.select(*[F.col(c).alias(f"{s}_{c}") for c in ("at", "node", "place", "kind", "asks", *who[1:])])
     pairs = met.unionByName(equal).join(side("a").filter("a_asks"), "a_at").join(side("b"), "b_at")
-    same = F.col("a_at") == F.col("b_at")
-    pairs = pairs.filter((~same | ~F.col("b_asks") | (F.col("a_node") < F.col("b_node"))) & (F.col("a_node") != F.col("b_node")) & _agreeing())
+    pairs = pairs.filter((~F.col("b_asks") | (F.col("a_node") < F.col("b_node"))) & (F.col("a_node") != F.col("b_node")) & _agreeing())
     streets = (F.col("a_kind") == F.col("b_kind")) | (F.col("a_kind") == "") | (F.col("b_kind") == "")
     home = F.col("a_place").isNotNull()
     pairs = pairs.filter(F.when(home, streets).otherwise(F.col("sure") & (F.col("sim") >= threshold + 0.1)))
