@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,8 @@ import pytest
 from placeweave.llm.addresses import Slips, match_addresses, read_city, read_postcode, read_street
 from placeweave.llm.linkage import average_linkage
 from placeweave.llm.names import _agreeing, edits, index_entries, match_names, read_name, words_agree
-from placeweave.llm.ngrams import settled, similar
+from placeweave.llm.ngrams import settled, similar, spread
+from placeweave.session import materialize
 from pyspark.sql import functions as F
 
 
@@ -109,6 +111,15 @@ def test_spellings_settle_on_the_most_frequent_like_them(spark):
     assert settled(similar(df.limit(0), 0.6)).collect() == []
 
 
+def test_index_and_vectors_are_not_broadcast_by_the_size_of_the_vocabulary(spark):
+    df = materialize(spark.createDataFrame([("a", "obsidianfountain", 3), ("a", "obsidianfuontain", 1)], "block string, text string, n long"), "few-spellings")
+    found = similar(df, 0.6)
+    assert "BroadcastExchange" in spread(df, "text").join(df, "text")._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[(\w+)#", found._jdf.queryExecution().executedPlan().toString())
+    assert {k: j for j, k in joins if k in ("entry", "a_text", "b_text")} == dict.fromkeys(("entry", "a_text", "b_text"), "SortMergeJoin")
+    assert [tuple(r)[:3] for r in found.collect()] == [("a", "obsidianfuontain", "obsidianfountain")]
+
+
 def test_a_frequent_slip_at_one_address_loses_no_pair(spark):
     rows = [(i, "Maplecrest Street" if i < 40 else "Maplecrset Street", "7", "Kestrel Bay", None) for i in range(49)]
     assert match_addresses(spark.createDataFrame(rows, "uid long, street string, number string, city string, postcode string")).count() == 49 * 48 // 2
