@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from placeweave.llm import names as names_
 from placeweave.llm.addresses import Slips, match_addresses, read_city, read_postcode, read_street
 from placeweave.llm.linkage import average_linkage
 from placeweave.llm.names import _agreeing, edits, index_entries, match_names, read_name, words_agree
@@ -200,6 +201,22 @@ def test_brands_that_agree_meet_in_the_index():
     assert agreed > 1000
 
 
+def test_brands_stand_once_where_others_look():
+    entries = lambda brand, found: index_entries([brand], np.array([8]), found)[1].tolist()
+    stands = entries("vetorsuro hollow", True)
+    assert len(stands) == 28 + 28 + 6 + 1  # both words together in one order, either alone, and glued
+    for other in ("hollw vetorsuro", "vetorsuro hollow inn", "vetorsurohollow"):
+        assert set(entries(other, False)) & set(stands) or set(entries("vetorsuro hollow", False)) & set(entries(other, True))
+
+
+@pytest.mark.parametrize("few", [1, 16])
+def test_few_brands_are_paired_as_the_index_pairs_them(spark, monkeypatch, few):
+    monkeypatch.setattr(names_, "FEW", few)
+    names = ["Zubeka Bakery", "Zupeka Bakery", "Bluesky Cafe", "Blue Sky Cafe", "Tulip Quartz Clinic", "Tulop Quarts Clinic", "Hollow Knoll Spa", "Knol Hollw Spa", "Vetorsuro Hollow Bank", "Vetorsuro Bank"]
+    rows = [(i, n, None, "Main Road", "5", "Kestrel Bay", None) for i, n in enumerate(names)] + [(20, "Zubeka Bakery", None, None, None, "Kestrel Bay", None)]
+    assert {tuple(r) for r in match_names(spark.createDataFrame(rows, NAMES)).collect()} == {(0, 1), (0, 20), (1, 20), (2, 3), (4, 5), (6, 7), (8, 9)}
+
+
 def test_slips_without_an_address_are_found(spark):
     names = [("Zubeka Bakery", "Zupeka Bakery"), ("Bluesky Cafe", "Blue Sky Cafe"), ("Tulip Quartz Clinic", "Tulop Quarts Clinic"), ("Vetorsuro Hollow Bank", "Vetorsuro Bank"), ("Hollow Knoll Spa", "Hollw Knol Spa")]
     rows = [(10 * i + j, n, None, *(("Main Road", str(i + 1)) if j else (None, None)), "Kestrel Bay", None) for i, pair in enumerate(names) for j, n in enumerate(pair)]
