@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from placeweave.llm import names as names_
+from placeweave.llm import ngrams
 from placeweave.llm.addresses import Slips, match_addresses, read_city, read_postcode, read_street
 from placeweave.llm.linkage import average_linkage
 from placeweave.llm.names import _agreeing, edits, index_entries, match_names, read_name, words_agree
@@ -112,6 +113,27 @@ def test_spellings_settle_on_the_most_frequent_like_them(spark):
     assert settled(similar(df.limit(0), 0.6)).collect() == []
 
 
+def test_spellings_one_edit_apart_share_an_entry():
+    rng = random.Random(2)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcł") for _ in range(rng.choice([4, 5, 7, 8, 9, 15, 16, 17, 18, 40])))
+        i, j, c = rng.randrange(len(w)), rng.randrange(len(w)), rng.choice("abł")
+        swapped = list(w)
+        swapped[i], swapped[j] = swapped[j], swapped[i]
+        for v in (w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], "".join(swapped)):
+            for size in (3, 8) if len(v) >= 4 else ():
+                rows, entries = ngrams._entries([w, v], np.array([size, size]), 1)
+                assert set(entries[rows == 0].tolist()) & set(entries[rows == 1].tolist()), (w, v)
+    # No more than a letter left out of each place, the whole and its letters in order: few meet by chance, and none under four letters.
+    assert len(ngrams._entries(["maple", "elm"], np.array([3, 3]), 1)[0]) == 5 + 1 + 1
+    assert len(ngrams._entries(["maple" * 2000], np.array([3]), 1)[0]) < 10
+
+
+def test_other_letters_are_spellings_too(spark):
+    df = spark.createDataFrame([("t", "krakowska", 9), ("t", "krakołska", 1), ("t", "krakwska", 1)], "block string, text string, n long")
+    assert {(r["text"], r["to"]) for r in settled(similar(df, 0.4)).collect()} == {("krakołska", "krakowska"), ("krakwska", "krakowska")}
+
+
 def test_index_and_vectors_are_not_broadcast_by_the_size_of_the_vocabulary(spark):
     df = materialize(spark.createDataFrame([("a", "obsidianfountain", 3), ("a", "obsidianfuontain", 1)], "block string, text string, n long"), "few-spellings")
     found = similar(df, 0.6)
@@ -217,6 +239,56 @@ def test_few_brands_are_paired_as_the_index_pairs_them(spark, monkeypatch, few):
     assert {tuple(r) for r in match_names(spark.createDataFrame(rows, NAMES)).collect()} == {(0, 1), (0, 20), (1, 20), (2, 3), (4, 5), (6, 7), (8, 9)}
 
 
+@pytest.mark.parametrize("most", [1, 100_000])
+def test_large_blocks_are_joined_as_others_are_searched(spark, monkeypatch, most):
+    monkeypatch.setattr(names_, "FEW", 1)
+    monkeypatch.setattr(names_, "MOST", most)
+    names = ["Zubeka Bakery", "Zupeka Bakery", "Bluesky Cafe", "Blue Sky Cafe", "Tulip Quartz Clinic", "Tulop Quarts Clinic", "Vetorsuro Hollow Bank", "Vetorsuro Bank"]
+    rows = [(i, n, None, *at, "Kestrel Bay", None) for i, (n, at) in enumerate(zip(names, [(None, None), ("Main Road", "5")] * 4))]
+    assert {tuple(r) for r in match_names(spark.createDataFrame(rows, NAMES)).collect()} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+
+
+@pytest.mark.parametrize("together", [1, 1_000_000])
+def test_pairs_met_in_blocks_equal_those_of_shared_entries(monkeypatch, together):
+    monkeypatch.setattr(names_, "MEETINGS", together)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abdeklo") for _ in range(rng.choice([3, 4, 6, 8, 9, 14]))) for _ in range(10)]
+    brands = [" ".join(sorted({w if rng.random() < 0.6 else w[1:] for w in rng.sample(words, rng.choice([1, 1, 2, 3]))})) for _ in range(60)]
+    block = np.sort(np.array([rng.choice([5, -7, 2**62]) for _ in brands]))
+    asks, size = np.array([rng.random() < 0.4 for _ in brands]) | (block == 5), np.full(len(brands), 5)
+    look, found = ([set(index_entries([b], size[:1], f)[1].tolist()) for b in brands] for f in (False, True))
+    several, three = [" " in b for b in brands], {block[i] for i, b in enumerate(brands) if asks[i] and b.count(" ") > 1}
+    want = set()
+    for i, j in itertools.permutations(range(len(brands)), 2):
+        either = several[i] and not asks[j] and (not several[j] or block[j] in three) and found[i] & look[j]
+        if block[i] == block[j] and asks[i] and (either or look[i] & (found[j] if several[j] else look[j])):
+            want.add((min(i, j), max(i, j)) if asks[j] else (i, j))
+    got = [(int(a), int(b)) for x, y in names_.meetings(brands, block, asks, size) for a, b in zip(x, y)]
+    assert want and set(got) == want
+    assert not list(names_.meetings(["zubeka"], np.array([1]), np.array([True]), np.array([3])))[0][0].size
+
+
+def test_brands_of_a_block_lie_together_whatever_was_joined_before(spark):
+    schema, n = "block long, brand string, at long, asks boolean", 400
+    rows = [(i % 3, f"zubeka{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}", i, True) for i in range(n)]
+    sizes = spark.createDataFrame([(b, 5) for b in range(3)], "block long, size long")
+    brands = spark.createDataFrame(rows, schema).repartition(7, "at").join(sizes.hint("merge"), "block")
+    got = {(r["a_at"], r["b_at"]) for r in names_._met(brands).collect()}
+    # All share their first letters, so all of a block meet; entries never leave the task that made them.
+    assert {(min(p), max(p)) for p in got} == {(i, j) for i in range(n) for j in range(i + 1, n) if (j - i) % 3 == 0}
+    assert "entry" not in names_._met(brands)._jdf.queryExecution().toString()
+
+
+def test_words_compared_together_agree_as_one_by_one():
+    rng = random.Random(5)
+    brands = [" ".join("".join(rng.choice("abä") for _ in range(rng.choice([1, 3, 5, 8, 12, 16, 17, 30]))) for _ in range(rng.choice([1, 1, 2, 3, 9]))) for _ in range(400)]
+    others = [b[: (i := rng.randrange(len(b)))] + rng.choice(["", "a", "ab"]) + b[i + rng.randrange(3) :] for b in brands]
+    others = [" ".join(o.split()) or "a" for o in others]
+    assert names_.agreeing(brands, others) == [words_agree(a, b) for a, b in zip(brands, others)]
+    pairs = [(v, w) for a, b in zip(brands, others) for v, w in zip(a.split(" "), b.split(" "))]
+    assert names_.many_edits(pairs) == [edits(v, w, 3) for v, w in pairs] and names_.many_edits([]) == []
+
+
 def test_slips_without_an_address_are_found(spark):
     names = [("Zubeka Bakery", "Zupeka Bakery"), ("Bluesky Cafe", "Blue Sky Cafe"), ("Tulip Quartz Clinic", "Tulop Quarts Clinic"), ("Vetorsuro Hollow Bank", "Vetorsuro Bank"), ("Hollow Knoll Spa", "Hollw Knol Spa")]
     rows = [(10 * i + j, n, None, *(("Main Road", str(i + 1)) if j else (None, None)), "Kestrel Bay", None) for i, pair in enumerate(names) for j, n in enumerate(pair)]
