@@ -31,11 +31,11 @@ def match_keys(recs: DataFrame) -> DataFrame:
     """``uid`` and what the verdicts compare, worked out once per record instead of once per pair: the written-out street,
     house number, unit, floor and name."""
     core = lambda t: F.array_sort(F.array_distinct(F.filter(t, lambda w: ~w.isin(OPTIONAL_WORDS))))
-    keys = recs.select("uid", *[k.alias(n) for n, k in _address_keys("").items()], tokens(F.col("house")).alias("words"), F.col("phone"), F.col("country"))
+    keys = recs.select("uid", *[k.alias(n) for n, k in address_keys("").items()], tokens(F.col("house")).alias("words"), F.col("phone"), F.col("country"))
     return keys.withColumn("core", core(F.col("words")))
 
 
-def _address_keys(s: str) -> dict[str, Column]:
+def address_keys(s: str) -> dict[str, Column]:
     """The keys of an address from the columns ``road<s>, house_number<s>, house_number_base<s>, unit<s>, floor<s>``."""
     c = lambda f: F.col(f"{f}{s}")
     return {
@@ -80,7 +80,7 @@ def _present(c: Column) -> Column:
 def address_status(fuzzy: bool = False, keyed: bool = False) -> Column:
     """The verdict on street and house number; null where one side lacks what the other has, or both lack both. ``keyed``
     takes the columns of :func:`match_keys` instead of the record's."""
-    x, y = (_keyed(s) if keyed else _address_keys(s) for s in "12")
+    x, y = (_keyed(s) if keyed else address_keys(s) for s in "12")
     street, number = _street(x["street"], y["street"], fuzzy), _house_number(x["number"], y["number"], x["base"], y["base"])
     roads, numbers = x["has_road"] & y["has_road"], x["has_number"] & y["has_number"]
     none = F.lit(None).cast("struct<status:int,sim:double>")

@@ -1,4 +1,6 @@
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +147,19 @@ def test_a_key_normalizes_each_text_once(spark):
     assert plan.count("regexp_extract_all(") <= 2
 
 
+@pytest.mark.parametrize("name", ["q_address_status"])
+def test_pairs_normalize_no_text(spark, name):
+    """What pairs compare is worked out once per record: above the join of the pairs, no text is taken apart."""
+    from placeweave.plans.catalogue import QUERIES
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"regexp_\w+\(|translate\(", plan[: plan.index("Join")])
+    assert plan.count("translate(") <= 16
+
+
 def test_keys_by_city_postcode_and_nothing(spark):
     a = recs(spark, dict(uid=1, house_number="1", road="A St", city="X", postcode="94109-1234"), dict(uid=2, house_number="1", road="A Street", suburb="x", postcode="94109"), dict(uid=3))
     assert blocking.candidate_pairs(a, DedupeConfig(address_only=True, use_city=True)).count() == 1
