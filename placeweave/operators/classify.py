@@ -112,7 +112,8 @@ def is_address_dupe(with_unit: bool = True, fuzzy: bool = False, keyed: bool = F
     return good & is_sub_building_dupe(keyed) if with_unit else good
 
 
-def _names(x: Column, y: Column, u: Column, v: Column) -> Column:
+def name_status_of(x: Column, y: Column, u: Column, v: Column) -> Column:
+    """:func:`name_status` of the ``words`` and ``core`` of :func:`match_keys`."""
     shared = F.size(F.array_intersect(u, v)) / F.nullif(F.size(F.array_union(u, v)), F.lit(0))
     none = F.lit(None).cast("int")
     return F.when((F.coalesce(F.size(x), F.lit(0)) <= 0) | (F.coalesce(F.size(y), F.lit(0)) <= 0), none).when(x == y, EXACT_DUPLICATE).when((F.size(u) > 0) & (u == v), LIKELY_DUPLICATE).when(shared >= 0.5, NEEDS_REVIEW).otherwise(NON_DUPLICATE)
@@ -123,7 +124,7 @@ def name_status(a: Column, b: Column) -> Column:
     ones; NEEDS_REVIEW if half of the words are shared; NON otherwise; null where a side has no word."""
     core = lambda t: F.array_sort(F.array_distinct(F.filter(t, lambda w: ~w.isin(OPTIONAL_WORDS))))
     x, y = tokens(a), tokens(b)
-    return _names(x, y, core(x), core(y))
+    return name_status_of(x, y, core(x), core(y))
 
 
 def class_of(sim: Column, likely: float = 0.9, review: float = 0.7) -> Column:
@@ -158,7 +159,7 @@ def name_address_verdicts(pairs: DataFrame, config: DedupeConfig) -> DataFrame:
     so that each is worked out once."""
     if not config.name_only:
         pairs = pairs.filter(is_address_dupe(config.with_unit, config.fuzzy_street_names, keyed=True))
-    plain = _names(*[F.col(c) for c in ("words1", "words2", "core1", "core2")])
+    plain = name_status_of(*[F.col(c) for c in ("words1", "words2", "core1", "core2")])
     phones = ["phone1", "phone2", "country1", "country2"]
     out = pairs.select("uid1", "uid2", plain.alias("plain"), class_of(F.col("fuzzy"), config.name_dupe_threshold, config.name_review_threshold).alias("soft"), "fuzzy", *phones)
     # The phones turn no duplicate into none and none into one, so the pairs that are none go before they are read.
