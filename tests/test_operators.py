@@ -147,7 +147,7 @@ def test_a_key_normalizes_each_text_once(spark):
     assert plan.count("regexp_extract_all(") <= 2
 
 
-@pytest.mark.parametrize("name", ["q_address_status", "q_phone_revision", "q_soft_tfidf"])
+@pytest.mark.parametrize("name", ["q_address_status", "q_phone_revision", "q_soft_tfidf", "q_exact_dupes"])
 def test_pairs_normalize_no_text(spark, name):
     """What pairs compare is worked out once per record: above the join of the pairs, no text is taken apart."""
     from placeweave.plans.catalogue import QUERIES
