@@ -77,22 +77,32 @@ def _present(c: Column) -> Column:
     return F.coalesce(F.trim(c) != "", F.lit(False))
 
 
+def address_code(fuzzy: bool = False, keyed: bool = False) -> Column:
+    """The status of :func:`address_status`, on which its similarity depends (:func:`address_sim`). A plain number named once, since
+    Catalyst inlines a verdict wherever one of its two fields is read."""
+    x, y = (_keyed(s) if keyed else address_keys(s) for s in "12")
+    same, likely, none = F.lit(EXACT_DUPLICATE), F.lit(LIKELY_DUPLICATE), F.lit(NON_DUPLICATE)
+    a, b = x["street"], y["street"]
+    # Streets to be reviewed are no duplicates here. The cheap conditions stand first.
+    street = F.when(a == b, same)
+    if fuzzy:
+        street = street.when((F.abs(F.length(a) - F.length(b)) <= 1) & (F.length(a) >= 8) & (F.length(b) >= 8) & (F.levenshtein(a, b, 1) >= 0) & ~a.rlike("[0-9]") & ~b.rlike("[0-9]"), likely)
+    based = (x["base"].isNotNull() | y["base"].isNotNull()) & (F.coalesce(x["base"], x["number"]) == F.coalesce(y["base"], y["number"]))
+    number = F.when(x["number"] == y["number"], same).when(based, likely).otherwise(none)
+    # The least of what is compared: a part that both lack is null, which least() passes over.
+    least = F.least(F.when(x["has_road"] & y["has_road"], street.otherwise(none)), F.when(x["has_number"] & y["has_number"], number))
+    return F.when((x["has_road"] == y["has_road"]) & (x["has_number"] == y["has_number"]), least)
+
+
+def address_sim(status: Column) -> Column:
+    return F.when(status == EXACT_DUPLICATE, 1.0).when(status == LIKELY_DUPLICATE, 0.9).when(status == NON_DUPLICATE, 0.0)
+
+
 def address_status(fuzzy: bool = False, keyed: bool = False) -> Column:
     """The verdict on street and house number; null where one side lacks what the other has, or both lack both. ``keyed``
     takes the columns of :func:`match_keys` instead of the record's."""
-    x, y = (_keyed(s) if keyed else address_keys(s) for s in "12")
-    street, number = _street(x["street"], y["street"], fuzzy), _house_number(x["number"], y["number"], x["base"], y["base"])
-    roads, numbers = x["has_road"] & y["has_road"], x["has_number"] & y["has_number"]
-    none = F.lit(None).cast("struct<status:int,sim:double>")
-    good = lambda v: v["status"] >= LIKELY_DUPLICATE
-    return (
-        F.when((x["has_road"] != y["has_road"]) | (x["has_number"] != y["has_number"]) | (~x["has_road"] & ~x["has_number"]), none)
-        .when(roads & ~good(street), verdict(*NON))
-        .when(numbers & ~good(number), verdict(*NON))
-        .when(roads & numbers, F.least(street, number))
-        .when(roads, street)
-        .otherwise(number)
-    )
+    status = address_code(fuzzy, keyed)
+    return F.when(status.isNotNull(), verdict(status, address_sim(status)))
 
 
 def is_sub_building_dupe(keyed: bool = False) -> Column:
@@ -108,7 +118,7 @@ def is_sub_building_dupe(keyed: bool = False) -> Column:
 
 
 def is_address_dupe(with_unit: bool = True, fuzzy: bool = False, keyed: bool = False) -> Column:
-    good = F.coalesce(address_status(fuzzy, keyed)["status"] >= LIKELY_DUPLICATE, F.lit(False))
+    good = F.coalesce(address_code(fuzzy, keyed) >= LIKELY_DUPLICATE, F.lit(False))
     return good & is_sub_building_dupe(keyed) if with_unit else good
 
 

@@ -10,8 +10,8 @@ from placeweave.config import LIKELY_DUPLICATE, DedupeConfig
 from placeweave.functions.similarity import soft_tfidf
 from placeweave.functions.text import tokens
 from placeweave.operators import word_index as wi
-from placeweave.operators.blocking import block_keys, candidate_pairs, join_pairs, link_pairs, star_pairs
-from placeweave.operators.classify import address_status, geo_blend, is_sub_building_dupe, match_keys, name_address_verdicts
+from placeweave.operators.blocking import area_columns, block_keys, candidate_pairs, join_pairs, link_pairs, star_pairs
+from placeweave.operators.classify import address_code, address_sim, geo_blend, is_sub_building_dupe, match_keys, name_address_verdicts
 from placeweave.operators.responses import responses, unique_records
 from placeweave.session import materialize, ship
 from placeweave.sources.records import records
@@ -22,14 +22,16 @@ _ADDRESS_KEYS = ["uid", "street", "number", "base", "has_road", "has_number", "u
 def judged_addresses(pairs: DataFrame, recs: DataFrame, config: DedupeConfig, right: DataFrame | None = None) -> DataFrame:
     """``uid1, uid2, status, sim`` of the pairs with one address, exact or likely."""
     both = join_pairs(pairs, match_keys(recs).select(*_ADDRESS_KEYS), None if right is None else match_keys(right).select(*_ADDRESS_KEYS))
-    both = both.withColumn("v", address_status(config.fuzzy_street_names, keyed=True)).filter(F.col("v.status") >= LIKELY_DUPLICATE)
+    both = both.withColumn("status", address_code(config.fuzzy_street_names, keyed=True)).filter(F.col("status") >= LIKELY_DUPLICATE)
     if config.with_unit:
         both = both.filter(is_sub_building_dupe(keyed=True))
-    return both.select("uid1", "uid2", "v.status", "v.sim")
+    return both.select("uid1", "uid2", "status", address_sim(F.col("status")).alias("sim"))
 
 
 def dedupe_addresses(recs: DataFrame, config: DedupeConfig) -> DataFrame:
-    """Address mode. Star pairing judges k-1 pairs of a block before it looks at those left over."""
+    """Address mode. Star pairing judges k-1 pairs of a block before it looks at those left over. The records are used several
+    times and written once."""
+    recs = materialize(recs.select("uid", "road", "house_number", "house_number_base", "unit", "floor", "house", "phone", "country", "lat", "lon", *area_columns(config)), "recs")
     if config.pairing == "star":
         # Both passes start from the keys, several times.
         return star_pairs(materialize(block_keys(recs, config, around=True), "block-keys"), lambda pairs: judged_addresses(pairs, recs, config))

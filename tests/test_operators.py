@@ -161,6 +161,14 @@ def test_pairs_normalize_no_text(spark, name):
     assert plan.count("translate(") <= 16
 
 
+def test_an_address_is_judged_once(spark):
+    a = recs(spark, *[{"uid": i, "road": r, "house_number": "1"} for i, r in enumerate(["Long Harbor Rd", "Long Harbour Road", "Oak St"])])
+    judged = pipelines.judged_addresses(spark.createDataFrame([(1, 0), (2, 0)], "uid1 long, uid2 long"), a, DedupeConfig(address_only=True))
+    assert [tuple(r) for r in judged.collect()] == [(1, 0, 2, 0.9)]
+    # Once to keep the pair and once for its status.
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") <= 2
+
+
 def test_keys_by_city_postcode_and_nothing(spark):
     a = recs(spark, dict(uid=1, house_number="1", road="A St", city="X", postcode="94109-1234"), dict(uid=2, house_number="1", road="A Street", suburb="x", postcode="94109"), dict(uid=3))
     assert blocking.candidate_pairs(a, DedupeConfig(address_only=True, use_city=True)).count() == 1
